@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from stillwater.llm._bpe import tokenizer_path
 from stillwater.llm._scratch import new_path
+from stillwater.llm.ngram_join import ngram_components
 from stillwater.llm.source_mix import mix_sources
 from stillwater.llm.token_counts import token_counts
 from stillwater.llm.token_files import read_tokens, write_tokens
+from stillwater.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +39,6 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_token_files, op9_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op4_token_files, op9_source_mix)}
 
 SQL: dict[str, str] = {}
