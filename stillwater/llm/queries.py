@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from stillwater.llm._bpe import tokenizer_path
 from stillwater.llm._scratch import new_path
+from stillwater.llm.language_id import fold, identify_languages
 from stillwater.llm.ngram_join import ngram_components
 from stillwater.llm.source_mix import mix_sources
 from stillwater.llm.token_counts import token_counts
 from stillwater.llm.token_files import read_tokens, write_tokens
+from stillwater.llm.vector_topk import vector_topk
 from stillwater.session import ship
 
 
@@ -28,6 +30,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -39,6 +46,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op4_token_files, op9_source_mix)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), fold())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_vector_topk, op4_token_files, op9_source_mix, op10_language_id)}
 
 SQL: dict[str, str] = {}
