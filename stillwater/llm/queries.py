@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm._bpe import tokenizer_path
-from stillwater.llm._scratch import new_path
+from stillwater.llm._scratch import materialize, new_path
+from stillwater.llm.decontaminate import find_leaks
 from stillwater.llm.language_id import fold, identify_languages
 from stillwater.llm.ngram_join import ngram_components
+from stillwater.llm.quality import fit_quality, grades, score_quality
 from stillwater.llm.source_mix import mix_sources
 from stillwater.llm.token_counts import token_counts
 from stillwater.llm.token_files import read_tokens, write_tokens
 from stillwater.llm.vector_topk import vector_topk
+from stillwater.llm.warc_audit import audit, leaves, merkle_tree, warc_records
 from stillwater.session import ship
 
 
@@ -41,6 +44,41 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, digest=True)
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = materialize(warc_records(table(spark, sf_dir, "pages")), "archive")
+    # the replica: one byte of every 97th record is damaged
+    damaged = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(bytearray(b"#")), F.expr("substring(record, octet_length(record) - 3, 4)"))
+    replica = archive.withColumn("record", F.when(F.col("page_id") % 97 == 3, damaged).otherwise(F.col("record")))
+    found = audit(merkle_tree(leaves(archive)), merkle_tree(leaves(replica))).select("idx", F.lit(False).alias("ok"))
+    rows = archive.join(found, F.col("pos") == F.col("idx"), "left")
+    return rows.select("page_id", "offset", "n_bytes", "digest", F.coalesce("ok", F.lit(True)).alias("intact"))
+
+
+OP5_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || CAST(page_id AS VARCHAR) || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages)
+SELECT page_id, CAST(sum(strlen(record)) OVER (ORDER BY page_id) - strlen(record) AS BIGINT) AS "offset",
+  CAST(strlen(record) AS BIGINT) AS n_bytes, sha256(record) AS digest, page_id % 97 <> 3 AS intact
+FROM r
+"""
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, grades(table(spark, sf_dir, "labels")), 3)
+    scored = score_quality(docs, model, 3)
+    return scored.select("doc_id", "expected_grade", "p_at_least_1", "p_at_least_2", F.coalesce(F.col("p_at_least_2") >= 0.5, F.lit(True)).alias("kept"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -50,6 +88,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"), fold())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_vector_topk, op4_token_files, op9_source_mix, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_vector_topk, op4_token_files, op5_warc_audit, op6_quality, op7_decontaminate, op9_source_mix, op10_language_id)}
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_vector_topk": OP3_SQL, "op5_warc_audit": OP5_SQL}
