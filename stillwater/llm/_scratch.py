@@ -30,6 +30,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind it
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

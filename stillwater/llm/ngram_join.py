@@ -5,16 +5,18 @@ fragments; documents are compared fragment by fragment, partial overlaps are cou
 their sum per pair decides.  Around that:
 
 * Documents with the same set form one class; a class takes part once (``set_id``, a 64-bit hash).
-* Candidates share an n-gram of their prefixes (the first n - ceil(0.8 n) + 1 in the order) at
+* Candidates share n-grams of their prefixes (the first n - ceil(0.8 n) + 1 in the order) at
   positions that still allow the overlap asked for.  Prefixes travel as packed arrays, dealt by
-  n-gram hash.  N-grams in ``HOT`` or more classes are dealt as rows of their own.
+  n-gram hash; each packed group counts the overlap of its own n-grams, and the sum per pair,
+  with all that follows the prefixes added, must reach the overlap asked for.  N-grams in more
+  than ``HOT`` classes are dealt as rows of their own.
 * In a bucket of a hot n-gram only pairs that can still join two components are compared:
   some centres against the bucket per round, more centres in each round, until every bucket's
   remaining members are in one component or can't link.  So a group of near copies costs about
   its size, and components are exact.
 
 Heavy n-grams are a matter of speed alone: counts are those of tasks that saw the n-gram a few
-times, and at most 2**18 are kept whatever the size of the corpus.
+times, and at most ``HEAVY_MOST`` are kept whatever the size of the corpus.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 a text with fewer words than n is one n-gram; a row without doc_id isn't linked (component_id
@@ -40,11 +42,13 @@ FRAGMENTS = 8
 #: classes from which an n-gram's bucket is hot
 HOT = 32
 #: n-grams held by a task before it counts them, and the count from which it reports one
-WINDOW, SEEN = 2_000_000, 4
+WINDOW, SEEN = 5_000_000, 3
 #: heavy n-grams that are broadcast at most (8 bytes and a count each)
-HEAVY_MOST = 1 << 18
+HEAVY_MOST = 1 << 19
 #: prefix n-grams in one packed group, about
 GROUP = 400_000
+#: bits of the broadcast filter that says which documents' texts are fetched (fixed: 2 MB)
+FILTER = 1 << 24
 
 _ROWS = "doc_id long, set_id long, n_shingles long, token long, df long"
 
@@ -126,14 +130,25 @@ def _prefixes(n: int, groups: int, heavy):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 i = o[a:b]
                 own, local = np.unique(d[i], return_inverse=True)
-                rows.append((int(group[i[0]]), h[i].tobytes(), local.astype(np.uint32).tobytes(), p[i].astype(np.uint32).tobytes(), sets[own].tobytes(), sizes[own].astype(np.int64).tobytes()))
+                rows.append((int(group[i[0]]), h[i].tobytes(), _narrow(local), _narrow(p[i]), sets[own].tobytes(), sizes[own].astype(np.int64).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=["grp", "h", "d", "p", "sets", "sizes"])
 
     return run
 
 
-_CANDIDATES = "token long, a long, b long, n long, room long"
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.uint16 if not len(x) or x.max() < 65536 else np.uint32).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+
+
+_PAIR, _HOT, _SHARED = range(3)
+#: pair: sets a, b of sizes n, m share k n-grams of this group; hot: set a of size n with m n-grams from this
+#: one on; shared: k of the n-grams of set a in this group are in other sets, too
+_CANDIDATES = "kind int, token long, a long, b long, n long, m long, k long"
 
 
 def _able(n1, n2, room1, room2):
@@ -142,12 +157,12 @@ def _able(n1, n2, room1, room2):
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one packed group, and the rows of its hot buckets."""
-    cols = {c: [np.frombuffer(x.as_py(), dtype=t) for x in table[c]] for c, t in (("h", np.uint64), ("d", np.uint32), ("p", np.uint32), ("sets", np.int64), ("sizes", np.int64))}
-    h = np.concatenate(cols["h"])
-    s = np.concatenate([x[i] for x, i in zip(cols["sets"], cols["d"], strict=True)])
-    n = np.concatenate([x[i] for x, i in zip(cols["sizes"], cols["d"], strict=True)])
-    room = n - np.concatenate(cols["p"])
+    """Candidate pairs of one packed group with their overlap in it, and the rows of its hot buckets."""
+    h = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["h"]]
+    d, p = ([_wide(x.as_py(), len(y)) for x, y in zip(table[c], h, strict=True)] for c in ("d", "p"))
+    sets, sizes = ([np.frombuffer(x.as_py(), dtype=np.int64) for x in table[c]] for c in ("sets", "sizes"))
+    s, n = (np.concatenate([x[i] for x, i in zip(y, d, strict=True)]) for y in (sets, sizes))
+    h, room = np.concatenate(h), n - np.concatenate(p)
     o = np.lexsort((s, h))
     h, s, n, room = h[o], s[o], n[o], room[o]
     same = np.zeros(len(h), dtype=bool)
@@ -155,20 +170,30 @@ def _buckets(table: pa.Table) -> pa.Table:
     h, s, n, room = (x[~same] for x in (h, s, n, room))
     edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
     size = np.diff(edges)
-    hot_group = table["grp"][0].as_py() < 0
-    is_hot = np.full(len(size), True) if hot_group else size > HOT
+    is_hot = size > (0 if table["grp"][0].as_py() < 0 else HOT)
     hot = np.flatnonzero(np.repeat(is_hot, size))
-    pairs = []
+    x, y = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for k in range(2, HOT + 1):
         at = edges[:-1][(size == k) & ~is_hot]
-        if len(at):
-            i, j = np.triu_indices(k, 1)
-            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            ok = _able(n[x], n[y], room[x], room[y])
-            pairs.append(np.stack([s[x[ok]], s[y[ok]]]))
-    ab = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-    none = pa.nulls(len(hot), pa.int64()), pa.nulls(ab.shape[1], pa.int64())
-    return pa.table({"token": pa.concat_arrays([none[1], pa.array(h[hot].view(np.int64))]), "a": np.concatenate([ab[0], s[hot]]), "b": pa.concat_arrays([pa.array(ab[1]), none[0]]), "n": pa.concat_arrays([none[1], pa.array(n[hot])]), "room": pa.concat_arrays([none[1], pa.array(room[hot].astype(np.int64))])})
+        i, j = np.triu_indices(k, 1)
+        x.append((at[:, None] + i).ravel())
+        y.append((at[:, None] + j).ravel())
+    x, y = np.concatenate(x), np.concatenate(y)
+    o = np.lexsort((s[y], s[x]))
+    x, y = x[o], y[o]
+    new = np.flatnonzero(np.concatenate([[True], (s[x][1:] != s[x][:-1]) | (s[y][1:] != s[y][:-1])])) if len(x) else np.zeros(0, dtype=np.int64)
+    k = np.diff(np.append(new, len(x)))
+    able = np.zeros(len(x), dtype=bool)
+    able[_able(n[x], n[y], room[x], room[y])] = True
+    able = np.logical_or.reduceat(able, new) if len(new) else able
+    x, y, k = x[new][able], y[new][able], k[able]
+    own, of = np.unique(s[np.repeat((size > 1) & ~is_hot, size)], return_counts=True)
+    parts = ((_PAIR, None, s[x], s[y], n[x], n[y], k), (_HOT, h[hot].view(np.int64), s[hot], None, n[hot], room[hot], None), (_SHARED, None, own, None, None, None, of))
+    out = []
+    for kind, *cols in parts:
+        rows = len(cols[1])
+        out.append(pa.table([pa.array(np.full(rows, kind, dtype=np.int32)), *(pa.nulls(rows, pa.int64()) if c is None else pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "token", "a", "b", "n", "m", "k"]))
+    return pa.concat_tables(out)
 
 
 def _segments(n: int):
@@ -223,8 +248,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = rows.where("n_shingles is not null").select("doc_id", "set_id", "n_shingles")
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
 
-    often = rows.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(2 * HOT, -(-total // HEAVY_MOST)))
-    found = often.toArrow()  # at most HEAVY_MOST: their counts are parts of the total
+    often = materialize(rows.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") > HOT), "often")
+    per_df = Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per count
+    least = often.groupBy("df").count().withColumn("upto", F.sum("count").over(per_df)).where(F.col("upto") <= HEAVY_MOST).agg(F.min("df")).first()[0]
+    found = often.where(F.col("df") >= F.lit(least)).toArrow()  # HEAVY_MOST at most
     token, df = found["token"].to_numpy().view(np.uint64), found["df"].to_numpy()
     order = np.argsort(token)
     heavy = spark.sparkContext.broadcast((token[order], df[order]))
@@ -232,12 +259,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = max(width(spark), -(-total // (5 * GROUP)))
     packed = texts.where("doc_id is not null").mapInArrow(_prefixes(n, groups, heavy), "grp long, h binary, d binary, p binary, sets binary, sizes binary")
     candidates = materialize(packed.groupBy("grp").applyInArrow(_buckets, _CANDIDATES), "candidates")
-    cold = candidates.where("token is null").select("a", "b").distinct()
-    hot = materialize(candidates.where("token is not null").groupBy("token", F.col("a").alias("set_id")).agg(F.max("n").alias("n"), F.max("room").alias("room")), "hot")
+    hot = candidates.where(F.col("kind") == _HOT).groupBy("token", F.col("a").alias("set_id")).agg(F.max("n").alias("n"), F.max("m").alias("room"))
+    hot = materialize(hot, "hot")
+    of_hot = materialize(hot.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot")), "hot-counts")
+    shared = candidates.where(F.col("kind") == _SHARED).groupBy(F.col("a").alias("set_id")).agg(F.sum("k").alias("cold"))
+    shared = of_hot.join(shared, "set_id", "left").select("set_id", (F.col("hot") + F.coalesce("cold", F.lit(0))).alias("shared"))
+    hot = materialize(_able_members(hot.join(shared, "set_id")), "hot")
+    cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"))
+    for side in ("a", "b"):
+        cold = cold.join(of_hot.select(F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+    in_prefix = F.col("k") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    cold = materialize(cold.where(9 * (in_prefix + F.greatest(_suffix("n"), _suffix("m"))) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
 
     classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("set_id")).where("set_id is not null").distinct().join(classes, "set_id")
-    segments = materialize(texts.join(wanted, "doc_id").select("set_id", "text").mapInArrow(_segments(n), "set_id long, fragment int, n long, part binary").dropDuplicates(["set_id", "fragment"]), "segments")
+    wanted = cold.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct()
+    wanted = materialize(wanted.join(classes, "set_id"), "wanted")
+    segments = _fetch(texts, wanted).select("set_id", "text").mapInArrow(_segments(n), "set_id long, fragment int, n long, part binary")
+    # a doc_id of several rows may bring a set several times
+    segments = materialize(segments, "segments") if not _repeats(members) else materialize(segments.dropDuplicates(["set_id", "fragment"]), "segments")
 
     links = [materialize(_linked(cold, segments), "links")]
     roots = components(links[0])
@@ -260,24 +299,51 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return members.where("n_shingles > 0 and doc_id is not null").join(by_set, "set_id").select("doc_id", "n_shingles", "component_id").union(empty)
 
 
+def _repeats(members: DataFrame) -> bool:
+    return bool(members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+
+
+def _suffix(size: str):
+    """N-grams of a set after its prefix."""
+    return F.floor((4 * F.col(size) + 4) / 5).cast("long") - 1
+
+
+def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id, text of the wanted documents.  A broadcast filter of fixed size lets hardly any other text into
+    the shuffle; where there are too many for it, it only saves less."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
+    near = texts.withColumn("_s", slot).withColumn("_w", F.floor(F.col("_s") / 64)).join(F.broadcast(words), "_w")  # FILTER / 64 rows at most
+    return near.where(F.expr("shiftright(_bits, cast(_s % 64 as int)) & 1 = 1")).select("doc_id", "text").join(wanted, "doc_id")
+
+
+def _able_members(hot: DataFrame) -> DataFrame:
+    """Members of hot buckets that may link with another member, by position, size and shared n-grams."""
+    bounds = hot.groupBy("token").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    room = F.floor(F.col("room") * 9 / 4) - F.col("n") >= F.col("least")
+    smaller = 9 * (F.col("shared") + _suffix("n")) >= 4 * (F.col("n") + F.col("least"))
+    larger = 9 * (F.col("shared") + _suffix("most")) >= 4 * (F.col("n") + F.col("most"))
+    return hot.join(bounds, "token").where(room & (smaller | larger)).select("token", "set_id", "n", "room", "shared")
+
+
 def _hot_pairs(hot: DataFrame, roots: DataFrame, centres: int) -> tuple[DataFrame, DataFrame] | None:
     """Members of hot buckets that may still join components, less this round's centres, and the pairs of
     these centres with them; None once every bucket is settled."""
     reach = F.floor(F.col("room") * 9 / 4).cast("long") - F.col("n")  # largest partner that the position allows
     per = Window.partitionBy("token")
-    labelled = hot.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("token", "set_id", "n", "room", reach.alias("reach"), F.coalesce("root", "set_id").alias("label"))
+    labelled = hot.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select(*hot.columns, reach.alias("reach"), F.coalesce("root", "set_id").alias("label"))
     bounds = labelled.groupBy("token").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     able = labelled.join(bounds, "token").where("reach >= least and n <= most")
     labels = able.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = labels.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "k").alias("main")).where("labels > 1")
-    left = materialize(able.join(main.select("token", "main"), "token").select("token", "set_id", "n", "room", "label", (F.col("label") == F.col("main")).alias("in_main")), "unsettled")
+    left = materialize(able.join(main.select("token", "main"), "token").select(*hot.columns, "label", (F.col("label") == F.col("main")).alias("in_main")), "unsettled")
     if not left.take(1):
         discard(left)
         return None
     rank = F.row_number().over(per.orderBy("in_main", "set_id"))
     picked = left.withColumn("_r", rank).where(F.col("_r") <= centres).drop("_r")
-    x = picked.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_x"), F.col("room").alias("room_x"), F.col("label").alias("label_x"))
-    pairs = left.join(x, "token").where((F.col("label") != F.col("label_x")) & (9 * F.least("room", "room_x") >= 4 * (F.col("n") + F.col("n_x"))))
+    x = picked.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_x"), F.col("room").alias("room_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
+    pairs = left.join(x, "token").where((F.col("label") != F.col("label_x")) & (9 * F.least("room", "room_x") >= 4 * (F.col("n") + F.col("n_x"))) & (9 * (F.least("shared", "shared_x") + F.greatest(_suffix("n"), _suffix("n_x"))) >= 4 * (F.col("n") + F.col("n_x"))))
     pairs = pairs.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-    rest = left.join(picked.select("token", "set_id"), ["token", "set_id"], "left_anti").select("token", "set_id", "n", "room")
+    rest = left.join(picked.select("token", "set_id"), ["token", "set_id"], "left_anti").select(*hot.columns)
     return materialize(rest, "hot"), pairs
