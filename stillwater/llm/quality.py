@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stillwater.llm._text import _LOWER, _TABLE, Words, _pow, column, mix, slices
 
@@ -158,17 +159,18 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str
 def score_quality(docs: DataFrame, model: dict | None, n_grades: int, text_col: str = "text") -> DataFrame:
     """``docs`` with expected_grade and p_at_least_1 ... p_at_least_{n_grades - 1}."""
     names = [f"p_at_least_{k}" for k in range(1, n_grades)]
+    docs = docs.drop("expected_grade", *names)
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", *names)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = ", ".join(f"{f.name.join('``')} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in ("expected_grade", *names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = tails(shared.value, column(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(axis=1)), *(pa.array(p[:, k]) for k in range(n_grades - 1))], names=[*batch.schema.names, "expected_grade", *names])
 
-    return docs.mapInArrow(run, f"{types}, expected_grade double, {', '.join(f'{c} double' for c in names)}")
+    return docs.mapInArrow(run, schema)
 
 
 def grades(labels: DataFrame) -> DataFrame:

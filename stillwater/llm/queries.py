@@ -14,6 +14,7 @@ from stillwater.llm.language_id import fold, identify_languages
 from stillwater.llm.ngram_join import ngram_components
 from stillwater.llm.quality import fit_quality, grades, score_quality
 from stillwater.llm.source_mix import mix_sources
+from stillwater.llm.substring_dedup import deduplicate
 from stillwater.llm.token_counts import token_counts
 from stillwater.llm.token_files import read_tokens, write_tokens
 from stillwater.llm.vector_topk import vector_topk
@@ -79,6 +80,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -88,7 +93,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"), fold())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_vector_topk, op4_token_files, op5_warc_audit, op6_quality, op7_decontaminate, op9_source_mix, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_vector_topk, op4_token_files, op5_warc_audit, op6_quality, op7_decontaminate, op8_substring_dedup, op9_source_mix, op10_language_id)}
 
 OP3_SQL = """
 WITH v AS (

@@ -7,7 +7,8 @@ documents these are follows from a seeded hash, so reruns agree.
 
 Defined results: a null or empty text has size 0; a null source is a source of its own, ordered
 last; documents of size 0 get the base copies of their source (they take nothing); an empty
-table gives an empty result; repeated rows take part one by one; other columns are kept.
+table gives an empty result; repeated rows take part one by one; other columns
+are kept, but for ones named as those of ``MIX``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 KNAPSACK = 1 << 14
 #: parts of a group of equally long documents of one source
 SPLIT = 256
+MIX = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float) -> np.ndarray:
@@ -107,27 +109,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     Sources in code-point order weigh ``weights``, repeating; together they get ``share`` of all words, each
     at most ``most`` times its own; no document is taken more than ``most`` times.
     """
-    base = docs.withColumns({"mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long"), "_h": F.xxhash64(F.lit(seed), F.col(id_col))})
-    base = base.withColumn("_part", F.pmod(F.col("_h"), F.lit(SPLIT)))
-    counts = materialize(base.groupBy(F.col(source_col).alias("source"), F.col("mix_size").alias("size"), "_part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    own = [c for c in docs.columns if c not in MIX]
+    rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    rows = rows.withColumn("part", F.pmod(F.col("h"), F.lit(SPLIT)))
+    counts = materialize(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # one row per source
     targets = materialize(totals.groupBy().applyInPandas(_targets(tuple(weights), share, most), "source string, source_size long, target double"), "targets")
-    known = by_size.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    known = by_size.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # one row per size of a source
     plan = known.groupBy("source").applyInPandas(_plan, "source string, size long, source_size long, target double, base long, extra long")
-    plan = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "base", "extra")
-    before = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = materialize(parts.select("_s", "_z", F.col("_part").alias("_p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("_before"), F.lit(0)), F.col("n")).alias("_need")), "plan")
-    rows = base.join(parts, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("mix_size") == F.col("_z")) & (F.col("_part") == F.col("_p")))
-    order = Window.partitionBy(source_col, "mix_size", "_part").orderBy("_h", id_col)
-    rows = rows.withColumn("mix_copies", F.col("base") + (F.row_number().over(order) <= F.col("_need")).cast("long"))
-    return rows.select(*docs.columns, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_copies", (F.col("mix_copies") * F.col("mix_size")).alias("mix_taken"))
+    plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "base", "extra")
+    before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = materialize(parts.select("s", "z", F.col("part").alias("p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("need")), "plan")
+    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
+    order = Window.partitionBy("source", "size", "part").orderBy("h", "id")
+    copies = F.col("base") + (F.row_number().over(order) <= F.col("need")).cast("long")
+    return rows.withColumn("copies", copies).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, without the mix_ columns."""
-    own = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where(F.col("mix_copies") > 0).select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("_copy")).drop("_copy")
+    own = [c for c in mixed.columns if c not in MIX]
+    return mixed.where(F.col("mix_copies") > 0).select(F.struct(*own).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")).select("row.*")
