@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from stillwater.llm._scratch import discard, materialize
 
 
+#: edges that a task turns into a forest at first
+TASK_EDGES = 200_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     up: dict[int, int] = {}
 
@@ -39,8 +43,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); root is the smallest node of its component."""
-    e = materialize(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "edges")
-    while True:
+    e = materialize(edges.select("a", "b").where("a != b"), "edges")
+    tasks = -(-e.count() // TASK_EDGES)
+    e = materialize(e.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), "edges")
+    while tasks > 1:
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -52,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(large)
         discard(e)
         e = new
-        # a star forest: no root of an edge is a child, and no child has two edges
+        # a star forest (as is the forest of a single task): no root of an edge is a child, and no child has two edges
         roots, children = e.select(F.col("b").alias("a")).distinct(), e.groupBy("a").count()
         if not children.join(roots, "a", "left_semi").take(1) and not children.where("count > 1").take(1):
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

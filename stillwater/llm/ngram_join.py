@@ -16,7 +16,7 @@ their sum per pair decides.  Around that:
   its size, and components are exact.
 
 Heavy n-grams are a matter of speed alone: counts are those of tasks that saw the n-gram a few
-times, and at most ``HEAVY_MOST`` are kept whatever the size of the corpus.
+times, and a bounded number is kept whatever the size of the corpus.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 a text with fewer words than n is one n-gram; a row without doc_id isn't linked (component_id
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.llm._components import components
+from stillwater.llm._heavy import Counter, heavy_list
 from stillwater.llm._scratch import discard, materialize, width
 from stillwater.llm._text import Words, column, mix, shingle_sets, slices
 
@@ -41,10 +42,6 @@ from stillwater.llm._text import Words, column, mix, shingle_sets, slices
 FRAGMENTS = 8
 #: classes from which an n-gram's bucket is hot
 HOT = 32
-#: n-grams held by a task before it counts them, and the count from which it reports one
-WINDOW, SEEN = 5_000_000, 3
-#: heavy n-grams that are broadcast at most (8 bytes and a count each)
-HEAVY_MOST = 1 << 19
 #: prefix n-grams in one packed group, about
 GROUP = 400_000
 #: bits of the broadcast filter that says which documents' texts are fetched (fixed: 2 MB)
@@ -73,24 +70,19 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
 def _profile(n: int):
     """Rows of documents (doc_id, set_id, n_shingles), and of n-grams seen often in this task (token, df)."""
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, df = np.unique(np.concatenate(held), return_counts=True)
-        keep = df >= SEEN
-        none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[keep].view(np.int64)), pa.array(df[keep].astype(np.int64))], names=["doc_id", "set_id", "n_shingles", "token", "df"])
+    def reports(counter: Counter) -> pa.RecordBatch:
+        tokens, df = counter.flush()
+        none = pa.nulls(len(tokens), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, tokens, df], names=["doc_id", "set_id", "n_shingles", "token", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        counter = Counter()
         for ids, hashes, bounds in _sets(batches, n):
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(_set_ids(hashes, bounds)), pa.array(np.diff(bounds)), none, none], names=["doc_id", "set_id", "n_shingles", "token", "df"])
-            held.append(hashes)
-            size += len(hashes)
-            if size >= WINDOW:
-                yield counts(held)
-                held, size = [], 0
-        if size:
-            yield counts(held)
+            if counter.add(hashes):
+                yield reports(counter)
+        yield reports(counter)
 
     return run
 
@@ -248,13 +240,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = rows.where("n_shingles is not null").select("doc_id", "set_id", "n_shingles")
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
 
-    often = materialize(rows.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") > HOT), "often")
-    per_df = Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per count
-    least = often.groupBy("df").count().withColumn("upto", F.sum("count").over(per_df)).where(F.col("upto") <= HEAVY_MOST).agg(F.min("df")).first()[0]
-    found = often.where(F.col("df") >= F.lit(least)).toArrow()  # HEAVY_MOST at most
-    token, df = found["token"].to_numpy().view(np.uint64), found["df"].to_numpy()
-    order = np.argsort(token)
-    heavy = spark.sparkContext.broadcast((token[order], df[order]))
+    heavy = heavy_list(rows.where("token is not null").select("token", "df"), HOT)
 
     groups = max(width(spark), -(-total // (5 * GROUP)))
     packed = texts.where("doc_id is not null").mapInArrow(_prefixes(n, groups, heavy), "grp long, h binary, d binary, p binary, sets binary, sizes binary")
@@ -278,18 +264,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a doc_id of several rows may bring a set several times
     segments = materialize(segments, "segments") if not _repeats(members) else materialize(segments.dropDuplicates(["set_id", "fragment"]), "segments")
 
-    links = [materialize(_linked(cold, segments), "links")]
-    roots = components(links[0])
+    roots = components(_linked(cold, segments))
     centres = 1
     while True:
         pairs = _hot_pairs(hot, roots, centres)
         if pairs is None:
             break
         hot_, pairs = pairs
-        links.append(materialize(_linked(pairs, segments), "links"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
+        found = materialize(_linked(pairs, segments), "links")
+        every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
         hot, roots, centres = hot_, components(every), centres * 8
 
     top = roots.join(classes.withColumnRenamed("set_id", "node"), "node")
@@ -340,7 +323,8 @@ def _hot_pairs(hot: DataFrame, roots: DataFrame, centres: int) -> tuple[DataFram
     if not left.take(1):
         discard(left)
         return None
-    rank = F.row_number().over(per.orderBy("in_main", "set_id"))
+    # members with the fewest n-grams of their own come first: the texts that others are copies of
+    rank = F.row_number().over(per.orderBy(F.desc("shared"), F.desc("room"), "set_id"))
     picked = left.withColumn("_r", rank).where(F.col("_r") <= centres).drop("_r")
     x = picked.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_x"), F.col("room").alias("room_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
     pairs = left.join(x, "token").where((F.col("label") != F.col("label_x")) & (9 * F.least("room", "room_x") >= 4 * (F.col("n") + F.col("n_x"))) & (9 * (F.least("shared", "shared_x") + F.greatest(_suffix("n"), _suffix("n_x"))) >= 4 * (F.col("n") + F.col("n_x"))))
