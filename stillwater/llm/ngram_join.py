@@ -46,6 +46,8 @@ HOT = 32
 GROUP = 400_000
 #: bits of the broadcast filter that says which documents' texts are fetched (fixed: 2 MB)
 FILTER = 1 << 24
+#: pairs to compare that are broadcast at most (16 bytes each)
+PAIRS_BROADCAST = 1 << 20
 
 _ROWS = "doc_id long, set_id long, n_shingles long, token long, df long"
 
@@ -222,9 +224,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """a, b, n_a, n_b, overlap of the pairs (a, b) that are similar enough."""
-    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("x"))
-    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("y"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    near = F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs  # else both sides are dealt by set
+    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("x")).join(near, "a")
+    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("y")).join(near, "b")
+    parts = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
     sums = parts.groupBy("a", "b").agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.sum("overlap").alias("overlap"))
     return sums.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
