@@ -3,6 +3,8 @@
 A window is ``size`` consecutive words; a window is repeated if its words also start somewhere in
 a document with a smaller id, and every word that a repeated window covers is removed.
 
+Equal texts are looked at once, as the document of smallest id; in the others every window is repeated.
+
 1. Each window has an anchor, the least hash of its ``GRAM``-word runs.  Equal windows have equal
    anchors, so only windows whose anchor is in two documents or more are looked at further.
 2. Runs of such windows with one anchor are segments.  Distinct segments, each with the smallest
@@ -38,7 +40,7 @@ from stillwater.llm._text import Words, column, gram_hashes, slices
 SIZE, GRAM = 13, 5
 #: words of a reference shard, and windows of a segment at most
 SHARD, RUN = 20_000, 64
-#: documents from which an anchor's windows are dealt one by one
+#: texts from which an anchor's windows are dealt one by one
 HOT = 256
 #: anchors in one packed group, about
 GROUP = 600_000
@@ -112,18 +114,18 @@ _FLAGS = "doc_id long, key long, anchors binary, hot binary"
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Per document, its anchors of one group that other documents have too."""
+    """Per text, its anchors of one group that other texts have too."""
     anchor = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["anchor"]]
     doc = [np.frombuffer(x.as_py(), dtype=np.uint16 if len(x.as_py()) == 2 * len(a) else np.uint32) for x, a in zip(table["doc"], anchor, strict=True)]
     ids, keys = (np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64)[d] for x, d in zip(table[c], doc, strict=True)]) for c in ("ids", "keys"))
     anchor = np.concatenate(anchor)
-    o = np.lexsort((keys, ids, anchor))
+    o = np.lexsort((ids, keys, anchor))
     anchor, ids, keys = anchor[o], ids[o], keys[o]
-    once = _changes(anchor, ids, keys)
+    once = _changes(anchor, keys)  # of equal texts the smallest id
     anchor, ids, keys = anchor[once], ids[once], keys[once]
     begin = np.flatnonzero(_changes(anchor))
-    docs = np.add.reduceat(_changes(anchor, ids).astype(np.int64), begin) if len(begin) else begin
-    n = np.repeat(docs, np.diff(np.append(begin, len(anchor))))
+    texts = np.diff(np.append(begin, len(anchor)))
+    n = np.repeat(texts, texts)
     always = table["grp"][0].as_py() < 0
     keep, hot = (np.ones(len(n), bool), np.ones(len(n), bool)) if always else (n >= 2, n >= HOT)
     anchor, ids, keys, hot = anchor[keep], ids[keep], keys[keep], hot[keep]
@@ -229,9 +231,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _cover(words: list[bytes], pieces: list, size: int) -> list[bytes]:
-    """The words that no repeated window covers."""
+    """The words that no repeated window covers (no pieces: all windows are repeated)."""
     step = np.zeros(len(words) + 1, dtype=np.int64)
-    starts = np.unique(np.concatenate([np.asarray(p, dtype=np.int64) for p in pieces]))
+    if pieces is None:
+        starts = np.arange(max(0, len(words) - size + 1))
+    else:
+        starts = np.unique(np.concatenate([np.asarray(p, dtype=np.int64) for p in pieces]))
     np.add.at(step, starts, 1)
     np.add.at(step, starts + size, -1)
     left = np.flatnonzero(np.cumsum(step)[:-1] == 0).tolist()
@@ -242,30 +247,36 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated passages removed from the text (words then joined by one space; other texts are
     unchanged).  With ``digest``: doc_id, n_words, n_removed, kept_sha256 instead."""
     cuts = repeated_windows(docs, id_col, text_col, size).groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))  # of one document
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(F.lit(1), F.col(text_col)).alias("key2"), F.col(text_col).isNotNull().alias("has")).where("doc_id is not null and has")
+    first = texts.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    again = texts.join(first, ["key", "key2"]).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("again")).distinct()
+    cuts = cuts.join(again, ["doc_id", "key"], "full_outer")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) if digest else docs
     name = "text" if digest else text_col
     rows = own.select(F.struct(*own.columns).alias("row"), F.col("doc_id" if digest else id_col).cast("long").alias("doc_id"), F.xxhash64(name).alias("key"))
-    rows = rows.join(cuts, ["doc_id", "key"], "left").select("row.*", F.col("starts").alias("starts_"))
+    rows = rows.join(cuts, ["doc_id", "key"], "left").select("row.*", F.col("starts").alias("starts_"), F.coalesce("again", F.lit(False)).alias("again_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, pieces = batch.column(batch.schema.get_field_index(name)), batch.column(batch.num_columns - 1)
+            texts, pieces = batch.column(batch.schema.get_field_index(name)), batch.column(batch.num_columns - 2)
+            again = batch.column(batch.num_columns - 1)
             out, counts = [], []
             for i in range(batch.num_rows):
-                cut = pieces[i].as_py()
+                all_ = again[i].as_py()
+                cut = None if all_ else pieces[i].as_py()
                 text = texts[i].as_py()
                 if digest:
                     words = (text or "").encode().split()
-                    kept = _cover(words, cut, size) if cut else words
+                    kept = _cover(words, cut, size) if cut or all_ else words
                     out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                     counts.append((len(words), len(words) - len(kept)))
                 else:
-                    out.append(b" ".join(_cover(text.encode().split(), cut, size)).decode() if cut else text)
+                    out.append(b" ".join(_cover(text.encode().split(), cut, size)).decode() if cut or (all_ and len(text.encode().split()) >= size) else text)
             if digest:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
-                cols = list(batch.columns[:-1])
+                cols = list(batch.columns[:-2])
                 cols[batch.schema.get_field_index(name)] = pa.array(out, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-2])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else own.schema)
