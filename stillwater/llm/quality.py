@@ -33,6 +33,8 @@ from stillwater.llm._text import _LOWER, _TABLE, Words, _pow, column, mix, slice
 #: rated documents to train on: expected number, and the most
 SAMPLE, SAMPLE_MOST = 6000, 10_000
 BITS, EPOCHS, BATCH, RATE, L1 = 18, 12, 64, 0.1, 2e-3
+#: steps at least, if the sample is small
+STEPS = 800
 
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -85,7 +87,7 @@ def train(texts: list[str], grades: list[int], n_grades: int, seed: int = 5) ->
     cut = np.arange(n_grades - 1) - n_grades - 1.0  # a text that says nothing is good
     cut_sq = np.full(n_grades - 1, 1e-8)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-len(y) // BATCH)))):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             docs = order[lo : lo + BATCH]
@@ -151,7 +153,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str
     graded = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
     m = max(1, graded.count() // SAMPLE)
     picked = graded.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(m)) == 0).groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").alias("grade")).limit(SAMPLE_MOST)
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col("grade").cast("int").alias("grade"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked), "_id").select("text", F.col("grade").cast("int").alias("grade"))
     got = sample.limit(SAMPLE_MOST).repartition(1).mapInArrow(_fit(n_grades), "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 

@@ -50,8 +50,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
     take = np.zeros(len(sizes), dtype=np.int64)
     if total <= 0 or budget <= 0:
         return take
-    ok = sizes > 0
-    take[ok] = np.minimum(counts[ok], np.floor(counts[ok] * min(1.0, budget / total)).astype(np.int64))
+    ok, part = sizes > 0, max(0.0, budget - KNAPSACK / 2) / total  # leaves the dynamic programme room to choose
+    take[ok] = np.minimum(counts[ok], np.floor(counts[ok] * min(1.0, part)).astype(np.int64))
     left = budget - float((sizes * take).sum())
     for i in np.argsort(-sizes, kind="stable"):
         if left <= KNAPSACK:
@@ -60,8 +60,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
             n = int(min(counts[i] - take[i], (left - KNAPSACK) // sizes[i] + 1, left // sizes[i]))
             take[i] += n
             left -= n * float(sizes[i])
-    room = int(min(left, KNAPSACK))
     # bounded knapsack: bit b of reach says that b words can be had; counts are split into powers of two
+    room = int(min(left, KNAPSACK)) + KNAPSACK // 4  # a little too much may be nearer
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
     for i in np.flatnonzero((sizes > 0) & (sizes <= room) & (counts > take)):
         n, k = int(min(counts[i] - take[i], room // sizes[i])), 1
@@ -70,19 +70,16 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
             steps.append((int(i), k_, reach))
             reach |= (reach << (k_ * int(sizes[i]))) & mask
             n, k = n - k_, k * 2
-        if reach >> room & 1:
+        if reach >> round(min(left, room)) & 1:
             break
-    at = reach.bit_length() - 1
-    left -= at
+    below = (reach & ((1 << (int(min(left, room)) + 1)) - 1)).bit_length() - 1
+    above = reach >> (below + 1)
+    above = below + (above & -above).bit_length() if above else below
+    at = above if abs(above - left) < abs(below - left) else below
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             at -= k * int(sizes[i])
             take[i] += k
-    more = np.flatnonzero((sizes > 0) & (counts > take))
-    if len(more):
-        least = more[np.argmin(sizes[more])]
-        if abs(left - sizes[least]) < left:
-            take[least] += 1
     return take
 
 
@@ -90,7 +87,7 @@ def _targets(weights: tuple[float, ...], share: float, cap: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_k=[(s is None, b"" if s is None else s.encode()) for s in rows["source"].where(rows["source"].notna(), None)]).sort_values("_k").drop(columns="_k")
         w = np.array([weights[i % len(weights)] for i in range(len(rows))], dtype=float)
-        return rows.assign(target=water_fill(rows["source_size"].to_numpy(), w, share * rows["source_size"].sum(), cap))
+        return rows.astype({"source": object}).assign(target=water_fill(rows["source_size"].to_numpy(), w, share * rows["source_size"].sum(), cap))
 
     return run
 
@@ -100,7 +97,7 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
     base = int(target // total) if total else 0
     extra = fit_budget(rows["size"].to_numpy(), rows["n"].to_numpy(), target - base * total)
-    return rows.assign(base=base, extra=extra)[["source", "size", "source_size", "target", "base", "extra"]]
+    return rows.assign(base=base, extra=extra)[["source", "size", "source_size", "target", "base", "extra"]].astype({"source": object})
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
