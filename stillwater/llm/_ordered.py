@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ids per bucket, and buckets per group of buckets
-SPAN, GROUP = 4096, 4096
+SPAN, GROUP = 256, 4096
 
 
 def with_offsets(df: DataFrame, id_col: str, len_col: str, tie_col: str) -> DataFrame:
