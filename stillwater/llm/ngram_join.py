@@ -140,7 +140,8 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 
 
 _PAIR, _HOT, _SHARED = range(3)
-#: pair: sets a, b of sizes n, m share k n-grams of this group; hot: set a of size n with m n-grams from this
+#: pair: sets a, b of sizes n, m share k n-grams of this group, one of them (token 1, else 0) where their positions
+#: allow the overlap (the first that they share does, but it may be in another group); hot: set a of size n with m n-grams from this
 #: one on; shared: k of the n-grams of set a in this group are in other sets, too
 _CANDIDATES = "kind int, token long, a long, b long, n long, m long, k long"
 
@@ -180,12 +181,14 @@ def _buckets(table: pa.Table) -> pa.Table:
     able = np.zeros(len(x), dtype=bool)
     able[_able(n[x], n[y], room[x], room[y])] = True
     able = np.logical_or.reduceat(able, new) if len(new) else able
-    x, y, k = x[new][able], y[new][able], k[able]
+    x, y = x[new], y[new]
+    near = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+    x, y, k, able = x[near], y[near], k[near], able[near]
     own, of = np.unique(s[np.repeat((size > 1) & ~is_hot, size)], return_counts=True)
-    parts = ((_PAIR, None, s[x], s[y], n[x], n[y], k), (_HOT, h[hot].view(np.int64), s[hot], None, n[hot], room[hot], None), (_SHARED, None, own, None, None, None, of))
+    parts = ((_PAIR, able, s[x], s[y], n[x], n[y], k), (_HOT, h[hot].view(np.int64), s[hot], None, n[hot], room[hot], None), (_SHARED, None, own, None, None, None, of))
     out = []
     for kind, *cols in parts:
-        rows = len(cols[1])
+        rows = len(cols[1])  # of a
         out.append(pa.table([pa.array(np.full(rows, kind, dtype=np.int32)), *(pa.nulls(rows, pa.int64()) if c is None else pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "token", "a", "b", "n", "m", "k"]))
     return pa.concat_tables(out)
 
@@ -255,7 +258,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = candidates.where(F.col("kind") == _SHARED).groupBy(F.col("a").alias("set_id")).agg(F.sum("k").alias("cold"))
     shared = of_hot.join(shared, "set_id", "left").select("set_id", (F.col("hot") + F.coalesce("cold", F.lit(0))).alias("shared"))
     hot = materialize(_able_members(hot.join(shared, "set_id")), "hot")
-    cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"))
+    cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"), F.max("token").alias("able")).where("able = 1")
     for side in ("a", "b"):
         cold = cold.join(of_hot.select(F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
     in_prefix = F.col("k") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
