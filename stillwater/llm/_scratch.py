@@ -1,51 +1,5 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares (see ``stillwater.scratch``)."""
 
-from __future__ import annotations
+from stillwater.scratch import discard, materialize, new_path, shared_dir, width
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
-    set_ = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_:
-        return set_
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="stillwater-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stillwater/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind it
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    if isinstance(df_or_path, str):
-        paths = [df_or_path]
-    else:
-        spark = df_or_path.sparkSession
-        paths = sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["discard", "materialize", "new_path", "shared_dir", "width"]

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, dedup, words
+from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, dedup, sentence, words
 
 from stillwater.llm import _components, ngram_join, substring_dedup
 from stillwater.llm._automaton import SuffixAutomaton
@@ -91,3 +91,18 @@ def test_connected_components(spark, monkeypatch):
         monkeypatch.setattr(_components, "TASK_EDGES", limit)
         got = {r.node: r.root for r in _components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
         assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_links_at_the_threshold(spark):
+    """Every number of replaced words around 0.8, in pairs whose shared n-grams fall into many groups."""
+    rng, rows = random.Random(9), []
+    for i in range(240):
+        w = sentence(rng, rng.randint(20, 160)).split()
+        rows.append((2 * i, " ".join(w), "en", "s", 0))
+        k = round(len(w) * rng.uniform(0.08, 0.14))
+        rows.append((2 * i + 1, " ".join(w[:-k] + sentence(rng, k).split()), "en", "s", 0))
+    want = {}
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        want |= components([a, b])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and 60 < sum(d != c for d, (_, c) in want.items()) < 220
