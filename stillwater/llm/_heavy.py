@@ -1,6 +1,6 @@
 """Values that very many documents share, found without shuffling all values.
 
-A task counts the values that it holds and reports those seen a few times; sums of the reports
+A task counts the values that it holds and reports those seen more than once; sums of the reports
 give a list that is bounded whatever the size of the corpus.  What isn't on the list is merely
 dealt by hash like any other value.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stillwater.llm._scratch import materialize
 
 #: values held by a task before it counts them, and the count from which it reports one
-WINDOW, SEEN = 5_000_000, 3
+WINDOW, SEEN = 5_000_000, 2
 #: values that are broadcast at most (8 bytes and a count each)
 MOST = 1 << 19
 

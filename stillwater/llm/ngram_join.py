@@ -116,6 +116,8 @@ def _prefixes(n: int, groups: int, heavy):
             pos = np.arange(len(hashes)) - bounds[doc]
             take = np.flatnonzero(first[doc] & (pos <= sizes[doc] - (4 * sizes[doc] + 4) // 5))
             h, d, p, f = hashes[take], doc[take], pos[take], df[take]
+            marked = np.zeros(len(sets), dtype=bool)
+            marked[d[f > 0]] = True
             group = np.where(f > 0, -1 - (task % groups), (h >> np.uint64(20)).astype(np.int64) % groups)
             task += 1
             o = np.argsort(group, kind="stable")
@@ -124,7 +126,8 @@ def _prefixes(n: int, groups: int, heavy):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 i = o[a:b]
                 own, local = np.unique(d[i], return_inverse=True)
-                rows.append((int(group[i[0]]), h[i].tobytes(), _narrow(local), _narrow(p[i]), sets[own].tobytes(), sizes[own].astype(np.int64).tobytes()))
+                # the size of a set with heavy n-grams in its prefix is negated
+                rows.append((int(group[i[0]]), h[i].tobytes(), _narrow(local), _narrow(p[i]), sets[own].tobytes(), np.where(marked[own], -sizes[own], sizes[own]).astype(np.int64).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=["grp", "h", "d", "p", "sets", "sizes"])
 
@@ -142,7 +145,8 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 _PAIR, _HOT, _SHARED = range(3)
 #: pair: sets a, b of sizes n, m share k n-grams of this group, one of them (token 1, else 0) where their positions
 #: allow the overlap (the first that they share does, but it may be in another group); hot: set a of size n with m n-grams from this
-#: one on; shared: k of the n-grams of set a in this group are in other sets, too
+#: one on; shared: k of the n-grams of set a in this group are in other sets too, in buckets that aren't hot
+#: (told of sets with heavy n-grams, which have rows in a group below 0 at least)
 _CANDIDATES = "kind int, token long, a long, b long, n long, m long, k long"
 
 
@@ -157,12 +161,13 @@ def _buckets(table: pa.Table) -> pa.Table:
     d, p = ([_wide(x.as_py(), len(y)) for x, y in zip(table[c], h, strict=True)] for c in ("d", "p"))
     sets, sizes = ([np.frombuffer(x.as_py(), dtype=np.int64) for x in table[c]] for c in ("sets", "sizes"))
     s, n = (np.concatenate([x[i] for x, i in zip(y, d, strict=True)]) for y in (sets, sizes))
+    marked, n = n < 0, np.abs(n)
     h, room = np.concatenate(h), n - np.concatenate(p)
     o = np.lexsort((s, h))
-    h, s, n, room = h[o], s[o], n[o], room[o]
+    h, s, n, room, marked = h[o], s[o], n[o], room[o], marked[o]
     same = np.zeros(len(h), dtype=bool)
     same[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
-    h, s, n, room = (x[~same] for x in (h, s, n, room))
+    h, s, n, room, marked = (x[~same] for x in (h, s, n, room, marked))
     edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
     size = np.diff(edges)
     is_hot = size > (0 if table["grp"][0].as_py() < 0 else HOT)
@@ -184,7 +189,8 @@ def _buckets(table: pa.Table) -> pa.Table:
     x, y = x[new], y[new]
     near = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
     x, y, k, able = x[near], y[near], k[near], able[near]
-    own, of = np.unique(s[np.repeat((size > 1) & ~is_hot, size)], return_counts=True)
+    own, of = np.unique(s[marked], return_inverse=True)
+    of = np.bincount(of, weights=np.repeat((size > 1) & ~is_hot, size)[marked], minlength=len(own))
     parts = ((_PAIR, able, s[x], s[y], n[x], n[y], k), (_HOT, h[hot].view(np.int64), s[hot], None, n[hot], room[hot], None), (_SHARED, None, own, None, None, None, of))
     out = []
     for kind, *cols in parts:
@@ -256,8 +262,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = materialize(hot, "hot")
     of_hot = materialize(hot.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot")), "hot-counts")
     shared = candidates.where(F.col("kind") == _SHARED).groupBy(F.col("a").alias("set_id")).agg(F.sum("k").alias("cold"))
-    shared = of_hot.join(shared, "set_id", "left").select("set_id", (F.col("hot") + F.coalesce("cold", F.lit(0))).alias("shared"))
-    hot = materialize(_able_members(hot.join(shared, "set_id")), "hot")
+    shared = of_hot.join(shared, "set_id", "left")
+    most = F.coalesce(F.col("hot") + F.col("cold"), F.col("n") - _suffix("n")).cast("long")  # not told: its whole prefix
+    hot = materialize(_able_members(hot.join(shared, "set_id").withColumn("shared", most).drop("hot", "cold")), "hot")
     cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"), F.max("token").alias("able")).where("able = 1")
     for side in ("a", "b"):
         cold = cold.join(of_hot.select(F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
