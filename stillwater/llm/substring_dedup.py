@@ -227,7 +227,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(reference.mapInArrow(_shards(size), "s1 long, s2 long, least array<long>"), "windows")
     hits = segments.select("s1", "s2", "doc_id", "key", "start").join(found, ["s1", "s2"])
     starts = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    return hits.select("doc_id", "key", starts.alias("starts")).where(F.size("starts") > 0)
+    out = materialize(hits.select("doc_id", "key", starts.alias("starts")).where(F.size("starts") > 0), "starts")
+    discard(segments)
+    discard(found)
+    return out
 
 
 def _cover(words: list[bytes], pieces: list, size: int) -> list[bytes]:
