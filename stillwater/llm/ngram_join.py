@@ -46,6 +46,8 @@ HOT = 32
 GROUP = 400_000
 #: bits of the broadcast filter that says which documents' texts are fetched (fixed: 2 MB)
 FILTER = 1 << 24
+#: documents whose texts are fetched by broadcasting their ids at most (16 bytes each; else texts are dealt by id)
+WANTED_BROADCAST = 1 << 19
 #: pairs to compare that are broadcast at most (16 bytes each)
 PAIRS_BROADCAST = 1 << 20
 
@@ -311,7 +313,8 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
     words = wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
     near = texts.withColumn("_s", slot).withColumn("_w", F.floor(F.col("_s") / 64)).join(F.broadcast(words), "_w")  # FILTER / 64 rows at most
-    return near.where(F.expr("shiftright(_bits, cast(_s % 64 as int)) & 1 = 1")).select("doc_id", "text").join(wanted, "doc_id")
+    few = F.broadcast(wanted) if wanted.count() <= WANTED_BROADCAST else wanted
+    return near.where(F.expr("shiftright(_bits, cast(_s % 64 as int)) & 1 = 1")).select("doc_id", "text").join(few, "doc_id")
 
 
 def _able_members(hot: DataFrame) -> DataFrame:
