@@ -42,7 +42,7 @@ def _byte_alphabet() -> dict[int, str]:
 class Encoder:
     """``encode(texts)`` gives all ids of a column, one after another, and their number per text."""
 
-    LIMIT = 1_000_000  # pre-tokens kept
+    LIMIT = 400_000  # pre-tokens kept
 
     def __init__(self, path: str):
         import os
@@ -65,7 +65,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
-        for lo, hi in slices(texts, 4 << 20):
+        for lo, hi in slices(texts, 2 << 20):
             i, n = self._slice(texts.slice(lo, hi - lo))
             ids.append(i)
             counts.append(n)
