@@ -1,13 +1,15 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by exact weighted similarity of item-sized windows.
 
 For every benchmark item, windows of as many words as the item has are compared with it:
 
-1. A window can only be similar if it shares a shingle with an item of its size, so windows around
-   shared shingles are looked at, and all of those.
-2. Their SimHash (64 bits, shingles weighted by how rare they are in the benchmark) is looked up in
-   a multi-index over the fingerprints of items of that size: ``RADIUS`` + 1 blocks of bits, of
-   which two fingerprints within the radius share one at least.
-3. Weighted Jaccard similarity of the shingles, exact, verifies each candidate (0.8 or more).
+1. A window can only reach ``LEAST`` if it shares one of the item's rarest shingles: of those whose
+   weight is just over what the similarity lets the two differ by.  Windows around these are looked at, and all of them.
+2. Running sums bound what such a window and the item share; below what ``LEAST`` asks for it is dropped.
+3. Weighted Jaccard similarity of the shingles (weighted by how rare they are in the benchmark),
+   exact, verifies each candidate (0.8 or more).
+
+Nothing is dropped by a fingerprint: no radius of a SimHash holds at any weights (two heavy shingles that
+cancel leave its bits to light ones), so ``HammingIndex`` isn't part of the scan.
 
 Words are lower-cased (A-Z); shingles are five words, of a shorter item the whole item.
 
@@ -29,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwater.llm._text import Words, column, gram_hashes, mix, slices
+from stillwater.llm._text import Words, column, gram_hashes, slices
 
 SHINGLE, LEAST, RADIUS, SHARD = 5, 0.8, 22, 20_000
+#: pairs of a shingle in a text and an item that are looked at together
+PAIRS = 1 << 20
 
 
 class HammingIndex:
@@ -63,19 +67,6 @@ class HammingIndex:
         return q[near], s[near]
 
 
-_BITS = np.arange(64, dtype=np.uint64)
-
-
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of 64 bits of each shingle."""
-    h = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
-    return (((h[:, None] >> _BITS[None, :]) & np.uint64(1)).astype(np.float64) * 2) - 1
-
-
-def _fingerprints(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << _BITS[None, :]).sum(axis=1, dtype=np.uint64)
-
-
 class Benchmark:
     """Items of one shard, ready to be matched."""
 
@@ -92,14 +83,21 @@ class Benchmark:
         self.known, self.weight = known, 1 + np.log(max(1, len(items)) / df)
         self.rare = 1 + np.log(max(1, len(items)))
         self.mass = [float(self.weights(s).sum()) for s in self.sets]
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(known >> np.uint64(44)).astype(np.int64)] = True
-        # by shingle: the sizes of the items that hold it
-        self.index = {}
-        for size in np.unique(self.sizes).tolist():
-            of = np.flatnonzero(self.sizes == size)
-            prints = _fingerprints(np.stack([(_signs(grams[i]) * self.weights(grams[i])[:, None]).sum(axis=0) for i in of]))
-            self.index[size] = (of, HammingIndex(prints), np.unique(np.concatenate([self.sets[i] for i in of])))
+        # of items of n-word shingles: their rarest shingles, sorted, and the items that hold them
+        self.posts, self.filter = {}, np.zeros(1 << 20, dtype=bool)
+        for n in np.unique(self.n).tolist():
+            of = np.flatnonzero(self.n == n)
+            rarest = [self._rarest(i) for i in of]
+            token, owner = np.concatenate(rarest), np.repeat(of, [len(x) for x in rarest])
+            o = np.argsort(token, kind="stable")
+            self.posts[n] = (token[o], owner[o])
+            self.filter[(token >> np.uint64(44)).astype(np.int64)] = True
+
+    def _rarest(self, item: int) -> np.ndarray:
+        """Shingles of which a window of similarity ``LEAST`` holds one: without them too little could be shared."""
+        weight = self.weights(self.sets[item])
+        o = np.argsort(-weight, kind="stable")
+        return self.sets[item][o[: int(np.searchsorted(np.cumsum(weight[o]), (1 - LEAST + 1e-9) * self.mass[item], side="right")) + 1]]
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -112,45 +110,55 @@ class Benchmark:
         w = Words(texts, lower=True)
         h = w.hashes()
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for n in np.unique(self.n).tolist():
+        for n, (token, owner) in self.posts.items():
             grams = gram_hashes(h, n)
             if not len(grams):
                 continue
             maybe = np.flatnonzero(self.filter[(grams >> np.uint64(44)).astype(np.int64)])
             maybe = maybe[w.doc[maybe] == w.doc[maybe + n - 1]]
-            for size, (of, index, shingles) in self.index.items():
-                if min(size, SHINGLE) != n or not len(maybe):
-                    continue
-                own = grams[maybe]
-                at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-                hits = maybe[shingles[at] == own]
-                if not len(hits):
-                    continue
-                # starts of all windows of this size that hold a hit
-                starts = np.unique((hits[:, None] - np.arange(size - n + 1)[None, :]).ravel())
-                doc = w.doc[np.clip(starts, 0, len(w.doc) - 1)]
-                inside = (starts >= w.bounds[doc]) & (starts + size <= w.bounds[doc + 1])
-                # a hit near the border of its document belongs to windows that lie in the same one
-                starts = starts[inside]
-                for lo in range(0, len(starts), 4096):
-                    self._windows(w, grams, n, size, of, index, starts[lo : lo + 4096], best)
+            lo, hi = np.searchsorted(token, grams[maybe]), np.searchsorted(token, grams[maybe], side="right")
+            hit = hi > lo
+            maybe, lo, count = maybe[hit], lo[hit], (hi - lo)[hit]
+            ends = np.cumsum(count)
+            a = 0
+            while a < len(maybe):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - count[a] + PAIRS, side="right")))
+                k = count[a:b]
+                pos = np.repeat(maybe[a:b], k)
+                item = owner[np.arange(len(pos)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[a:b], k)]
+                self._regions(w, grams, n, pos, item, best)
+                a = b
         return [(d, i, s, v) for (d, i), (v, s) in sorted(best.items())]
 
-    def _windows(self, w: Words, grams, n, size, of, index, starts, best) -> None:
-        m = size - n + 1
-        span = np.unique((starts[:, None] + np.arange(m)[None, :]).ravel())
-        sums = np.zeros((len(span) + 1, 64))
-        np.cumsum(_signs(grams[span]) * self.weights(grams[span])[:, None], axis=0, out=sums[1:])
-        a = np.searchsorted(span, starts)
-        q, s = index.query(_fingerprints(sums[a + m] - sums[a]))
-        for k, item in zip(q.tolist(), of[s].tolist(), strict=True):
-            begin = int(starts[k])
-            own = np.unique(grams[begin : begin + m])
-            both = np.intersect1d(own, self.sets[item], assume_unique=True)
+    def _regions(self, w: Words, grams, n, pos, item, best) -> None:
+        """Look at the windows around the shingles at ``pos``, each rare in its ``item``."""
+        o = np.lexsort((pos, item))
+        pos, item = pos[o], item[o]
+        doc, m = w.doc[pos], self.sizes[item] - n + 1
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > m[1:])]))
+        for i, d, first, last in zip(item[new].tolist(), doc[new].tolist(), pos[new].tolist(), pos[np.append(new[1:], len(pos)) - 1].tolist(), strict=True):
+            size = int(self.sizes[i])
+            lo, hi = max(first - (size - n), int(w.bounds[d])), min(last, int(w.bounds[d + 1]) - size)
+            if lo <= hi:
+                self._windows(w, grams, size - n + 1, i, d, lo, hi, best)
+
+    def _windows(self, w: Words, grams, m, item, d, lo, hi, best) -> None:
+        """Compare the windows of m shingles that start at lo to hi, in text d, with the item."""
+        own, known, mass = grams[lo : hi + m], self.sets[item], self.mass[item]
+        weight = self.weights(own)
+        sums = np.zeros((2, len(own) + 1))
+        np.cumsum(np.where(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own, weight, 0), out=sums[0, 1:])
+        np.cumsum(weight, out=sums[1, 1:])
+        shared, total = sums[:, m:] - sums[:, :-m]  # a shingle that a window repeats counts each time
+        able = shared >= (LEAST - 1e-9) * mass
+        if able.any() and len(np.unique(own)) == len(own):
+            able &= shared >= (LEAST - 1e-9) * (total + mass - shared)
+        for begin in (lo + np.flatnonzero(able)).tolist():
+            window = np.unique(grams[begin : begin + m])
+            both = np.intersect1d(window, known, assume_unique=True)
             shared = float(self.weights(both).sum())
-            value = shared / (float(self.weights(own).sum()) + self.mass[item] - shared)
+            value = shared / (float(self.weights(window).sum()) + mass - shared)
             if value >= LEAST - 1e-12:
-                d = int(w.doc[begin])
                 first = begin - int(w.bounds[d])
                 old = best.get((d, item))
                 if old is None or (value, -first) > (old[0], -old[1]):

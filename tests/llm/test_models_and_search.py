@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, sentence, words
 
@@ -136,6 +137,19 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_items_with_a_template():
+    """Many common shingles and a few rare ones, of which most differ: similar, whatever a fingerprint says."""
+    rng = random.Random(12)
+    template = sentence(rng, 160)
+    tails = [[f"t{i}x{k}" for k in range(5)] for i in range(300)]
+    docs = [f"{template} {' '.join(t[:2])} d{i} e{i} f{i}" for i, t in enumerate(tails)]
+    common, rare = 156, 1 + np.log(300)
+    value = (common + 2 * rare) / (common + 8 * rare)
+    assert 0.8 < value < 0.82
+    got = decontaminate.Benchmark(list(range(300)), [f"{template} {' '.join(t)}" for t in tails]).leaks(pa.array(docs))
+    assert [r[:3] for r in got] == [(i, i, 0) for i in range(300)] and all(abs(r[3] - value) < 1e-9 for r in got)
+
+
 def test_hamming_index():
     rng = np.random.default_rng(1)
     stored = rng.integers(0, 2**63, 200, dtype=np.uint64)
