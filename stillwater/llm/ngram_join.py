@@ -14,6 +14,9 @@ their sum per pair decides.  Around that:
   some centres against the bucket per round, more centres in each round, until every bucket's
   remaining members are in one component or can't link.  So a group of near copies costs about
   its size, and components are exact.
+* Links are only counted when asked for, and then all of them: within each component, where every link
+  lies, the full sets of all pairs of blocks of classes are compared, whatever pairs were skipped before.
+  This grows with the square of a component's classes.
 
 Heavy n-grams are a matter of speed alone: counts are those of tasks that saw the n-gram a few
 times, and a bounded number is kept whatever the size of the corpus.
@@ -51,6 +54,11 @@ WANTED_BROADCAST = 1 << 19
 #: pairs to compare that are broadcast at most (16 bytes each)
 PAIRS_BROADCAST = 1 << 20
 
+#: classes, and n-grams, of one block of a component in which links are counted, about
+BLOCK, BLOCK_GRAMS = 1 << 11, 1 << 20
+#: n-grams that are compared together as columns, and pairs of classes that are added up together
+COLUMNS, PAIRS = 1 << 12, 1 << 22
+
 _ROWS = "doc_id long, set_id long, n_shingles long, token long, df long"
 
 
@@ -244,8 +252,75 @@ def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return sums.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+def _side(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Sets of a block with their sizes and rows, and (n-gram, set's place) of all their parts."""
+    sets, first, of = np.unique(table["set_id"].to_numpy(), return_index=True, return_inverse=True)
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["part"]]
+    grams, owner = np.concatenate(parts), np.repeat(of, [len(x) for x in parts])
+    o = np.argsort(grams, kind="stable")
+    return sets, table["n"].to_numpy()[first], table["copies"].to_numpy()[first], grams[o], owner[o]
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """set_id, n_links of two blocks of a component (or of one with itself): rows of the sets that each links with."""
+    x, y, block = table["x"][0].as_py(), table["y"][0].as_py(), table["block"].to_numpy()
+    if x != y and len(np.unique(block)) == 1:  # the hash left the other block empty
+        return pa.table({"set_id": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+    left = _side(table.filter(pa.array(block == x)))
+    right = left if x == y else _side(table.filter(pa.array(block == y)))
+    (a, n_a, copies_a, grams_a, own_a), (b, n_b, copies_b, grams_b, own_b) = left, right
+    shared = np.intersect1d(grams_a, grams_b)
+    lo_a, lo_b = np.searchsorted(grams_a, shared), np.searchsorted(grams_b, shared)
+    k_a, k_b = np.searchsorted(grams_a, shared, side="right") - lo_a, np.searchsorted(grams_b, shared, side="right") - lo_b
+    overlap = np.zeros((len(a), len(b)), dtype=np.float32)  # exact: below 2^24
+    common = 64 * k_a * k_b >= overlap.size
+    for at in np.array_split(np.flatnonzero(common), -(-int(common.sum()) // COLUMNS) or 1):
+        place = [np.zeros((rows, len(at)), dtype=np.float32) for rows in overlap.shape]
+        for out, own, lo, k in zip(place, (own_a, own_b), (lo_a, lo_b), (k_a, k_b), strict=True):
+            column_ = np.repeat(np.arange(len(at)), k[at])
+            out[own[np.arange(len(column_)) - np.repeat(np.cumsum(k[at]) - k[at], k[at]) + np.repeat(lo[at], k[at])], column_] = 1
+        overlap += place[0] @ place[1].T
+    rare = np.flatnonzero(~common)
+    ends = np.cumsum(k_a[rare] * k_b[rare])
+    start = 0
+    while start < len(rare):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        at = rare[start:stop]
+        k = k_a[at] * k_b[at]
+        token = np.repeat(np.arange(len(at)), k)
+        nth = np.arange(len(token)) - np.repeat(np.cumsum(k) - k, k)
+        i, j = own_a[lo_a[at][token] + nth // k_b[at][token]], own_b[lo_b[at][token] + nth % k_b[at][token]]
+        overlap += np.bincount(i * len(b) + j, minlength=overlap.size).reshape(overlap.shape)
+        start = stop
+    overlap = overlap.astype(np.int64)
+    link = 100 * overlap >= 80 * (n_a[:, None] + n_b[None, :] - overlap)
+    if x == y:
+        np.fill_diagonal(link, False)
+    counts = [(a, link @ copies_b)] if x == y else [(a, link @ copies_b), (b, link.T @ copies_a)]
+    return pa.table({"set_id": pa.array(np.concatenate([c[0] for c in counts]), pa.int64()), "n_links": pa.array(np.concatenate([c[1] for c in counts]), pa.int64())})
+
+
+def _links(roots: DataFrame, classes: DataFrame, segments: DataFrame) -> DataFrame:
+    """set_id, n_links of the sets in ``roots``: rows of other sets that each links with."""
+    sizes = segments.groupBy("set_id").agg(F.max("n").alias("n"))
+    nodes = roots.select(F.col("node").alias("set_id"), "root").distinct().join(classes.select("set_id", "copies"), "set_id").join(sizes, "set_id")
+    nodes = materialize(nodes, "nodes")
+    whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams"), F.sum("copies").alias("rows"))
+    nodes = nodes.join(whole, "root")
+    two = nodes.where("k = 2").select("set_id", (F.col("rows") - F.col("copies")).alias("n_links"))  # they are linked
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
+    more = nodes.where("k > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    parts = segments.select("set_id", "n", "part").join(more.select("set_id", "root", "copies", "block", "blocks"), "set_id")
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parts = parts.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "set_id", "n", "copies", "part")
+    counted = parts.groupBy("root", "x", "y").applyInArrow(_block_links, "set_id long, n_links long")
+    return two.union(counted).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links),
+    and with ``links`` n_links (how many other rows of ``docs`` it links with; 0 without doc_id or words).
 
     Two documents link when 100 x |intersection| >= 80 x |union| of their sets of n-word shingles.
     """
@@ -273,9 +348,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     in_prefix = F.col("k") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     cold = materialize(cold.where(9 * (in_prefix + F.greatest(_suffix("n"), _suffix("m"))) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
 
-    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     wanted = cold.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct()
-    wanted = materialize(wanted.join(classes, "set_id"), "wanted")
+    wanted = materialize(wanted.join(classes.drop("copies"), "set_id"), "wanted")
     segments = _fetch(texts, wanted).select("set_id", "text").mapInArrow(_segments(n), "set_id long, fragment int, n long, part binary")
     # a doc_id of several rows may bring a set several times
     segments = materialize(segments, "segments") if not _repeats(members) else materialize(segments.dropDuplicates(["set_id", "fragment"]), "segments")
@@ -294,8 +369,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     top = roots.join(classes.withColumnRenamed("set_id", "node"), "node")
     least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = classes.withColumnRenamed("doc_id", "own").join(roots.join(least, "root").select(F.col("node").alias("set_id"), "component_id"), "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
     empty = members.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return members.where("n_shingles > 0 and doc_id is not null").join(by_set, "set_id").select("doc_id", "n_shingles", "component_id").union(empty)
+    if links:
+        of = classes.select("set_id", "copies").join(_links(roots, classes, segments), "set_id", "left")
+        of = of.select("set_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        by_set, empty, columns = by_set.join(of, "set_id"), empty.withColumn("n_links", F.lit(0).cast("long")), [*columns, "n_links"]
+    return members.where("n_shingles > 0 and doc_id is not null").join(by_set, "set_id").select(*columns).union(empty)
 
 
 def _repeats(members: DataFrame) -> bool:

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents"), links=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

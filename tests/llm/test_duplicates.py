@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, dedup, sentence, words
+from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, dedup, sentence, shingles, words
 
 from stillwater.llm import _components, ngram_join, substring_dedup
 from stillwater.llm._automaton import SuffixAutomaton
@@ -29,6 +29,25 @@ def test_components_of_documents(spark, hot):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] if r.doc_id is not None else r.component_id is None
 
 
+def test_number_of_links(spark, hot, request, monkeypatch):
+    """All pairs, also those inside groups of near copies, in one block of a component and in many."""
+    if "hot" in request.node.name:
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+        monkeypatch.setattr(ngram_join, "PAIRS", 100)
+    rows = corpus()
+    sets = [shingles(r[1]) for r in rows]
+    want: dict = {}
+    for i, x in enumerate(sets):
+        want[rows[i][0]] = sum(i != j and len(x) > 0 and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets))
+    docs = spark.createDataFrame([*((*r, *CLASH_VALUES) for r in rows), (None, rows[0][1], None, None, None, *CLASH_VALUES)], DOCS + CLASHING)
+    got = ngram_join.ngram_components(docs, links=True).collect()
+    assert len(got) == len(rows) + 1 and max(want.values()) > 20
+    for r in got:
+        assert r.n_links == (want[r.doc_id] if r.doc_id is not None else 0)
+    assert ngram_join.ngram_components(docs.limit(0), links=True).count() == 0
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.ngram_components(empty).count() == 0
