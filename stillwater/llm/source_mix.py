@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from stillwater.llm._scratch import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: words that the dynamic programme spans at most
-KNAPSACK = 1 << 14
+#: words that the dynamic programme spans at least; for longer documents four of the longest, as far as BITS allow
+KNAPSACK, BITS = 1 << 14, 1 << 28
 #: parts of a group of equally long documents of one source
 SPLIT = 256
 MIX = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
@@ -50,18 +50,20 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
     take = np.zeros(len(sizes), dtype=np.int64)
     if total <= 0 or budget <= 0:
         return take
-    ok, part = sizes > 0, max(0.0, budget - KNAPSACK / 2) / total  # leaves the dynamic programme room to choose
+    steps_most = max(1, int(np.ceil(np.log2(counts + 1)).sum()))
+    span = max(KNAPSACK, min(4 * int(sizes.max()), BITS // steps_most))
+    ok, part = sizes > 0, max(0.0, budget - span / 2) / total  # leaves the dynamic programme room to choose
     take[ok] = np.minimum(counts[ok], np.floor(counts[ok] * min(1.0, part)).astype(np.int64))
     left = budget - float((sizes * take).sum())
     for i in np.argsort(-sizes, kind="stable"):
-        if left <= KNAPSACK:
+        if left <= span:
             break
         if sizes[i] > 0 and sizes[i] <= left:
-            n = int(min(counts[i] - take[i], (left - KNAPSACK) // sizes[i] + 1, left // sizes[i]))
+            n = int(min(counts[i] - take[i], (left - span) // sizes[i] + 1, left // sizes[i]))
             take[i] += n
             left -= n * float(sizes[i])
     # bounded knapsack: bit b of reach says that b words can be had; counts are split into powers of two
-    room = int(min(left, KNAPSACK)) + KNAPSACK // 4  # a little too much may be nearer
+    room = int(min(left, span)) + span // 4  # a little too much may be nearer
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
     for i in np.flatnonzero((sizes > 0) & (sizes <= room) & (counts > take)):
         n, k = int(min(counts[i] - take[i], room // sizes[i])), 1
@@ -76,6 +78,16 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
     above = reach >> (below + 1)
     above = below + (above & -above).bit_length() if above else below
     at = above if abs(above - left) < abs(below - left) else below
+    # documents that don't fit into the span: one of them, with or without the others, may still be nearer
+    over = np.flatnonzero((sizes > room) & (counts > take))
+    options = [(abs(left - at), 0, at, None)]
+    for n, words in enumerate((at, below, 0)):
+        if len(over):
+            i = int(over[np.argmin(np.abs(left - words - sizes[over]))])
+            options.append((abs(left - words - float(sizes[i])), n + 1, words, i))
+    _, _, at, one = min(options, key=lambda o: o[:2])
+    if one is not None:
+        take[one] += 1
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             at -= k * int(sizes[i])

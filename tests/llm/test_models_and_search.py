@@ -193,6 +193,27 @@ def test_fit_budget():
         assert abs((sizes * took).sum() - budget) <= min(abs(x - budget) for x in reach) + max(sizes.min(), 1)
 
 
+def test_fit_budget_of_books(monkeypatch):
+    """Documents longer than the dynamic programme spans at least."""
+    assert source_mix.fit_budget(np.array([30000]), np.array([1]), 29000).tolist() == [1]
+    assert source_mix.fit_budget(np.array([30000]), np.array([1]), 14000).tolist() == [0]
+    rng = random.Random(14)
+    for _ in range(30):
+        sizes = np.array(sorted(rng.sample(range(20_000, 200_000), rng.randint(1, 4))))
+        counts = np.array([rng.randint(1, 3) for _ in sizes])
+        budget = rng.uniform(0, min(2 * sizes.max(), (sizes * counts).sum()))
+        reach = {0}
+        for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
+            for _ in range(c):
+                reach |= {x + s for x in reach}
+        took = source_mix.fit_budget(sizes, counts, budget)
+        assert (took <= counts).all() and (took >= 0).all()
+        assert abs((sizes * took).sum() - budget) <= min(abs(x - budget) for x in reach) + 1
+    monkeypatch.setattr(source_mix, "BITS", 0)  # too many sizes for a longer span
+    assert source_mix.fit_budget(np.array([30000]), np.array([1]), 29000).tolist() == [1]
+    assert source_mix.fit_budget(np.array([10, 30000]), np.array([2, 1]), 30019).tolist() == [2, 1]
+
+
 def test_source_mix(spark):
     rows = corpus() + [(9000 + i, "w " * 10, "en", "big", 0) for i in range(500)]
     docs = spark.createDataFrame([(*r, *CLASH_VALUES) for r in rows], DOCS + CLASHING)
