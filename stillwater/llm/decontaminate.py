@@ -14,6 +14,7 @@ cancel leave its bits to light ones), so ``HammingIndex`` isn't part of the scan
 Words are lower-cased (A-Z); shingles are five words, of a shorter item the whole item.
 
 The benchmark is broadcast in shards of ``SHARD`` items; each shard scans the documents once.
+Rarity is counted over the whole benchmark, whatever the shards.
 
 Defined results: a null or empty text matches nothing; items that are null or without words are
 left out; of several windows of a document that match an item the most similar counts, then the
@@ -70,7 +71,7 @@ class HammingIndex:
 class Benchmark:
     """Items of one shard, ready to be matched."""
 
-    def __init__(self, ids: list, texts: list[str], shingle: int = SHINGLE):
+    def __init__(self, ids: list, texts: list[str], shingle: int = SHINGLE, rarity: tuple[int, np.ndarray, np.ndarray] | None = None):
         w = Words(pa.array(texts, pa.string()), lower=True)
         h = w.hashes()
         items = [(ids[d], h[w.bounds[d] : w.bounds[d + 1]]) for d in range(len(ids)) if w.counts[d]]
@@ -79,9 +80,11 @@ class Benchmark:
         self.n = np.minimum(self.sizes, shingle)
         grams = [gram_hashes(x, int(k)) for (_, x), k in zip(items, self.n, strict=True)]
         self.sets = [np.unique(g) for g in grams]
-        known, df = np.unique(np.concatenate(self.sets), return_counts=True) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.known, self.weight = known, 1 + np.log(max(1, len(items)) / df)
-        self.rare = 1 + np.log(max(1, len(items)))
+        if rarity is None:  # the only shard
+            known, df = np.unique(np.concatenate(self.sets), return_counts=True) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            rarity = len(items), known, df
+        n_items, self.known, df = rarity
+        self.weight, self.rare = 1 + np.log(max(1, n_items) / df), 1 + np.log(max(1, n_items))
         self.mass = [float(self.weights(s).sum()) for s in self.sets]
         # of items of n-word shingles: their rarest shingles, sorted, and the items that hold them
         self.posts, self.filter = {}, np.zeros(1 << 20, dtype=bool)
@@ -165,15 +168,35 @@ class Benchmark:
                     best[d, item] = (value, first)
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item, and a null for each item with words."""
+    for batch in batches:
+        sets = Benchmark(list(range(batch.num_rows)), batch.column(0).to_pylist()).sets
+        if sets:
+            h = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([h, pa.nulls(len(sets), pa.int64())])], names=["h"])
+
+
+def _rarity(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Items with words in the whole benchmark, and shingles of several of them with their number of items."""
+    counts = items.select("text").mapInArrow(_shingles, "h long").groupBy("h").count().where("h is null or count > 1").toArrow()
+    h, df = counts["h"].combine_chunks(), counts["count"].to_numpy()
+    held = h.is_valid().to_numpy(zero_copy_only=False)
+    known = h.drop_null().to_numpy().view(np.uint64)
+    o = np.argsort(known)
+    return int(df[~held].sum()), known[o], df[held][o]
+
+
 def _shards(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> list:
     """Broadcast shards of at most about ``SHARD`` items."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     n = max(1, -(-items.count() // SHARD))
+    rarity = _rarity(items) if n > 1 else None
     out = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
         order = sorted(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        out.append(docs.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in order], [r[1] for r in order])))
+        out.append(docs.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in order], [r[1] for r in order], rarity=rarity)))
     return out
 
 

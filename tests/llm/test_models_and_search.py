@@ -150,6 +150,21 @@ def test_decontamination_of_items_with_a_template():
     assert [r[:3] for r in got] == [(i, i, 0) for i in range(300)] and all(abs(r[3] - value) < 1e-9 for r in got)
 
 
+def test_decontamination_in_shards(spark, monkeypatch):
+    """Shards of the benchmark give the rows, and similarities, of one."""
+    rng = random.Random(13)
+    template = sentence(rng, 14)
+    items = [(i, f"{template} {sentence(rng, 8)}") for i in range(15)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame([(i, t.rsplit(" ", 1)[0] + " x", "en", "s", 0) for i, t in items[:15]] + [(40, items[3][1], "en", "s", 0)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for size in (20_000, 5):
+        monkeypatch.setattr(decontaminate, "SHARD", size)
+        rows.append(sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()))
+    assert len(rows[0]) > 0 and [r[:4] for r in rows[0]] == [r[:4] for r in rows[1]]
+    assert all(abs(x[4] - y[4]) < 1e-9 for x, y in zip(*rows, strict=True))
+
+
 def test_hamming_index():
     rng = np.random.default_rng(1)
     stored = rng.integers(0, 2**63, 200, dtype=np.uint64)
