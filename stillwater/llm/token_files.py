@@ -63,7 +63,7 @@ def _train(path: str, size: int):
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", size: int = DICT_BYTES) -> tuple[str, bytes, str]:
     """(hash, bytes, dtype) of a dictionary trained on about ``DICT_DOCS`` documents, those whose hashed id
-    falls into one residue class."""
+    falls into one residue class; of each, the first 8 x ``DICT_SAMPLE_BYTES`` of serialized ids."""
     m = max(1, docs.count() // DICT_DOCS)
     sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(m)) == 0).limit(DICT_DOCS_MOST)
     rows = sample.repartition(1).mapInArrow(_train(tokenizer, size), "dict_hash string, dictionary binary, dtype string").collect()
