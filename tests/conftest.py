@@ -1,4 +1,4 @@
-"""One session for all tests; table folders are read-only."""
+"""One session for all tests."""
 
 import sys
 from pathlib import Path
@@ -9,8 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from stillwater.session import local_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
