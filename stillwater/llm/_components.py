@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from stillwater.llm._scratch import discard, materialize
 
 
-#: edges that a task turns into a forest at first
-TASK_EDGES = 200_000
+#: edges that a task turns into a forest at first, and nodes that it holds at most (then it tells of these and begins anew)
+TASK_EDGES, TASK_NODES = 200_000, 2_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,15 +30,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up[x]
         return top
 
+    def trees() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in up if root(x) != x]
+        for i in range(0, len(nodes), 1 << 16):
+            part = nodes[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([up[x] for x in part], pa.int64())], names=["a", "b"])
+        up.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-    nodes = [x for x in up if root(x) != x]
-    for i in range(0, len(nodes), 1 << 16):
-        part = nodes[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([up[x] for x in part], pa.int64())], names=["a", "b"])
+        if len(up) > TASK_NODES:
+            yield from trees()
+    yield from trees()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,9 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.llm._components import components
-from stillwater.llm._heavy import Counter, heavy_list
-from stillwater.llm._scratch import discard, materialize, width
+from stillwater.llm._heavy import Counter, contained, heavy_list
+from stillwater.llm._scratch import Scope, materialize, width
 from stillwater.llm._text import Words, column, mix, shingle_sets, slices
+from stillwater.session import ship
 
 #: fragments of the n-gram order in which partial overlaps are counted
 FRAGMENTS = 8
@@ -49,10 +50,12 @@ HOT = 32
 GROUP = 400_000
 #: bits of the broadcast filter that says which documents' texts are fetched (fixed: 2 MB)
 FILTER = 1 << 24
-#: documents whose texts are fetched by broadcasting their ids at most (16 bytes each; else texts are dealt by id)
+#: documents whose texts or sets are fetched by broadcasting their ids at most (16 to 40 bytes each; else they are dealt by id)
 WANTED_BROADCAST = 1 << 19
 #: pairs to compare that are broadcast at most (16 bytes each)
 PAIRS_BROADCAST = 1 << 20
+#: rows about hot n-grams that are broadcast at most (48 bytes each; else a hot n-gram is a key that Spark's skew join splits)
+TOKENS_BROADCAST = 1 << 18
 
 #: classes, and n-grams, of one block of a component in which links are counted, about
 BLOCK, BLOCK_GRAMS = 1 << 11, 1 << 20
@@ -209,26 +212,56 @@ def _buckets(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _segments(n: int):
-    """The set of each wanted text, cut into the fragments of the n-gram order."""
+def _signature(grams: np.ndarray) -> bytes:
+    """One bit per slot that an n-gram of the set falls into; slots: a power of two, four times the n-grams or more."""
+    slots = 1 << max(6, int(4 * len(grams) - 1).bit_length())
+    bits = np.zeros(slots, dtype=bool)
+    bits[(grams & np.uint64(slots - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _segments(n: int, heavy):
+    """The set of each wanted text, cut into the fragments of the n-gram order (heavy n-grams are the last), and its
+    signature (whole: true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = heavy.value[0]
         for batch in batches:
             texts, want = column(batch, "text"), batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts):
                 hashes, bounds = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), n)
                 right = np.flatnonzero(_set_ids(hashes, bounds) == want[lo:hi])
+                last = contained(hashes, often)
                 out = []
                 for d in right:
-                    own = hashes[bounds[d] : bounds[d + 1]]
-                    cut = np.searchsorted(own, (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
-                    out += [(int(want[lo + d]), f, len(own), part.tobytes()) for f, part in enumerate(np.split(own, cut)) if len(part)]
+                    own, late = hashes[bounds[d] : bounds[d + 1]], last[bounds[d] : bounds[d + 1]]
+                    cut = np.searchsorted(early := own[~late], np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
+                    key = int(want[lo + d]), len(own)
+                    out.append((*key, -1, True, _signature(own)))
+                    out += [(*key, f, False, part.tobytes()) for f, part in enumerate([*np.split(early, cut), own[late]]) if len(part)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())], names=["set_id", "fragment", "n", "part"])
+                    types = pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["set_id", "n", "fragment", "whole", "part"])
 
     return run
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of sets with n and m n-grams whose signatures allow the overlap: each slot that only one of the
+    two has is an n-gram at least that the other lacks."""
+    for batch in batches:
+        n, m = (batch.column(k).to_numpy() for k in (2, 3))
+        most = np.zeros(batch.num_rows, dtype=np.int64)
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint8) for k in (4, 5))
+            while len(x) != len(y):  # fewer slots: the upper half laid on the lower one
+                x, y = (x[: len(x) // 2] | x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] | y[len(y) // 2 :])
+            both = int(np.bitwise_count(x & y).sum())
+            most[i] = min(n[i] - int(np.bitwise_count(x).sum()), m[i] - int(np.bitwise_count(y).sum())) + both
+        able = pa.array(9 * most >= 4 * (n + m))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(able)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(4), batch.column(5)
@@ -241,13 +274,19 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(out)], names=["a", "b", "na", "nb", "overlap"])
 
 
+def _both(pairs: DataFrame, parts: DataFrame, *keys: str) -> DataFrame:
+    """a, b, na, nb, x, y: the parts of both sets of each pair (by ``keys``, if they have several)."""
+    near = F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs  # else both sides are dealt by set
+    left = parts.select(F.col("set_id").alias("a"), *keys, F.col("n").alias("na"), F.col("part").alias("x")).join(near, "a")
+    right = parts.select(F.col("set_id").alias("b"), *keys, F.col("n").alias("nb"), F.col("part").alias("y")).join(near, "b")
+    return left.join(right, ["a", "b", *keys]).select("a", "b", "na", "nb", "x", "y")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """a, b, n_a, n_b, overlap of the pairs (a, b) that are similar enough."""
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    near = F.broadcast(pairs) if pairs.count() <= PAIRS_BROADCAST else pairs  # else both sides are dealt by set
-    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("x")).join(near, "a")
-    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("y")).join(near, "b")
-    parts = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
+    near = materialize(_both(pairs, segments.where("whole")).mapInArrow(_near, "a long, b long"), "near")
+    parts = _both(near, segments.where("not whole"), "fragment").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
     sums = parts.groupBy("a", "b").agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.sum("overlap").alias("overlap"))
     return sums.where(100 * F.col("overlap") >= 80 * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
@@ -303,15 +342,17 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 def _links(roots: DataFrame, classes: DataFrame, segments: DataFrame) -> DataFrame:
     """set_id, n_links of the sets in ``roots``: rows of other sets that each links with."""
-    sizes = segments.groupBy("set_id").agg(F.max("n").alias("n"))
+    sizes = segments.where("whole").select("set_id", "n")
     nodes = roots.select(F.col("node").alias("set_id"), "root").distinct().join(classes.select("set_id", "copies"), "set_id").join(sizes, "set_id")
     nodes = materialize(nodes, "nodes")
-    whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams"), F.sum("copies").alias("rows"))
-    nodes = nodes.join(whole, "root")
-    two = nodes.where("k = 2").select("set_id", (F.col("rows") - F.col("copies")).alias("n_links"))  # they are linked
+    every = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams"), F.sum("copies").alias("rows"))
+    of = nodes.join(every, "root")
+    two = of.where("k = 2").select("set_id", (F.col("rows") - F.col("copies")).alias("n_links"))  # they are linked
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
-    more = nodes.where("k > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
-    parts = segments.select("set_id", "n", "part").join(more.select("set_id", "root", "copies", "block", "blocks"), "set_id")
+    more = of.where("k > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    more = more.select("set_id", "root", "copies", "block", "blocks")
+    few = F.broadcast(more) if nodes.count() <= WANTED_BROADCAST else more
+    parts = segments.where("not whole").select("set_id", "n", "part").join(few, "set_id")
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     parts = parts.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "set_id", "n", "copies", "part")
     counted = parts.groupBy("root", "x", "y").applyInArrow(_block_links, "set_id long, n_links long")
@@ -324,58 +365,60 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents link when 100 x |intersection| >= 80 x |union| of their sets of n-word shingles.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(_profile(n), _ROWS), "shingles")
-    members = rows.where("n_shingles is not null").select("doc_id", "set_id", "n_shingles")
-    total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-
-    heavy = heavy_list(rows.where("token is not null").select("token", "df"), HOT)
-
-    groups = max(width(spark), -(-total // (5 * GROUP)))
-    packed = texts.where("doc_id is not null").mapInArrow(_prefixes(n, groups, heavy), "grp long, h binary, d binary, p binary, sets binary, sizes binary")
-    candidates = materialize(packed.groupBy("grp").applyInArrow(_buckets, _CANDIDATES), "candidates")
-    hot = candidates.where(F.col("kind") == _HOT).groupBy("token", F.col("a").alias("set_id")).agg(F.max("n").alias("n"), F.max("m").alias("room"))
-    hot = materialize(hot, "hot")
-    of_hot = materialize(hot.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot")), "hot-counts")
-    shared = candidates.where(F.col("kind") == _SHARED).groupBy(F.col("a").alias("set_id")).agg(F.sum("k").alias("cold"))
-    shared = of_hot.join(shared, "set_id", "left")
-    most = F.coalesce(F.col("hot") + F.col("cold"), F.col("n") - _suffix("n")).cast("long")  # not told: its whole prefix
-    hot = materialize(_able_members(hot.join(shared, "set_id").withColumn("shared", most).drop("hot", "cold")), "hot")
-    cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"), F.max("token").alias("able")).where("able = 1")
-    for side in ("a", "b"):
-        cold = cold.join(of_hot.select(F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
-    in_prefix = F.col("k") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    cold = materialize(cold.where(9 * (in_prefix + F.greatest(_suffix("n"), _suffix("m"))) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
-
-    classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    wanted = cold.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct()
-    wanted = materialize(wanted.join(classes.drop("copies"), "set_id"), "wanted")
-    segments = _fetch(texts, wanted).select("set_id", "text").mapInArrow(_segments(n), "set_id long, fragment int, n long, part binary")
-    # a doc_id of several rows may bring a set several times
-    segments = materialize(segments, "segments") if not _repeats(members) else materialize(segments.dropDuplicates(["set_id", "fragment"]), "segments")
-
-    roots = components(_linked(cold, segments))
-    centres = 1
-    while True:
-        pairs = _hot_pairs(hot, roots, centres)
-        if pairs is None:
-            break
-        hot_, pairs = pairs
-        found = materialize(_linked(pairs, segments), "links")
-        every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
-        hot, roots, centres = hot_, components(every), centres * 8
-
-    top = roots.join(classes.withColumnRenamed("set_id", "node"), "node")
-    least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = classes.withColumnRenamed("doc_id", "own").join(roots.join(least, "root").select(F.col("node").alias("set_id"), "component_id"), "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
-    empty = members.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    if links:
-        of = classes.select("set_id", "copies").join(_links(roots, classes, segments), "set_id", "left")
-        of = of.select("set_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        by_set, empty, columns = by_set.join(of, "set_id"), empty.withColumn("n_links", F.lit(0).cast("long")), [*columns, "n_links"]
-    return members.where("n_shingles > 0 and doc_id is not null").join(by_set, "set_id").select(*columns).union(empty)
+    spark = ship(docs.sparkSession)
+    with Scope(spark) as tables:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        rows = materialize(texts.mapInArrow(_profile(n), _ROWS), "shingles")
+        members = rows.where("n_shingles is not null").select("doc_id", "set_id", "n_shingles")
+        total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+
+        heavy = heavy_list(rows.where("token is not null").select("token", "df"), HOT)
+
+        groups = max(width(spark), -(-total // (5 * GROUP)))
+        packed = texts.where("doc_id is not null").mapInArrow(_prefixes(n, groups, heavy), "grp long, h binary, d binary, p binary, sets binary, sizes binary")
+        candidates = materialize(packed.groupBy("grp").applyInArrow(_buckets, _CANDIDATES), "candidates")
+        hot = candidates.where(F.col("kind") == _HOT).groupBy("token", F.col("a").alias("set_id")).agg(F.max("n").alias("n"), F.max("m").alias("room"))
+        hot = materialize(hot, "hot")
+        of_hot = materialize(hot.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot")), "hot-counts")
+        shared = candidates.where(F.col("kind") == _SHARED).groupBy(F.col("a").alias("set_id")).agg(F.sum("k").alias("cold"))
+        shared = of_hot.join(shared, "set_id", "left")
+        most = F.coalesce(F.col("hot") + F.col("cold"), F.col("n") - _suffix("n")).cast("long")  # not told: its whole prefix
+        hot = materialize(_able_members(hot.join(shared, "set_id").withColumn("shared", most).drop("hot", "cold")), "hot")
+        cold = candidates.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"), F.max("token").alias("able")).where("able = 1")
+        for side in ("a", "b"):
+            cold = cold.join(of_hot.select(F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+        in_prefix = F.col("k") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+        cold = materialize(cold.where(9 * (in_prefix + F.greatest(_suffix("n"), _suffix("m"))) >= 4 * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
+
+        classes = members.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+        wanted = cold.select(F.explode(F.array("a", "b")).alias("set_id")).union(hot.select("set_id")).distinct()
+        wanted = materialize(wanted.join(classes.drop("copies"), "set_id"), "wanted")
+        segments = _fetch(texts, wanted).select("set_id", "text").mapInArrow(_segments(n, heavy), "set_id long, n long, fragment int, whole boolean, part binary")
+        # a doc_id of several rows may bring a set several times
+        segments = materialize(segments.dropDuplicates(["set_id", "fragment"]) if _repeats(members) else segments, "segments", by="whole")
+
+        roots = components(_linked(cold, segments))
+        centres = 1
+        while True:
+            pairs = _hot_pairs(hot, roots, centres)
+            if pairs is None:
+                break
+            hot_, pairs = pairs
+            found = materialize(_linked(pairs, segments), "links")
+            every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
+            hot, roots, centres = hot_, components(every), centres * 8
+
+        top = roots.join(classes.withColumnRenamed("set_id", "node"), "node")
+        least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        by_set = classes.withColumnRenamed("doc_id", "own").join(roots.join(least, "root").select(F.col("node").alias("set_id"), "component_id"), "set_id", "left").select("set_id", F.coalesce("component_id", "own").alias("component_id"))
+        columns = ["doc_id", "n_shingles", "component_id"]
+        empty = members.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        if links:
+            of = classes.select("set_id", "copies").join(_links(roots, classes, segments), "set_id", "left")
+            of = of.select("set_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+            by_set, empty, columns = by_set.join(of, "set_id"), empty.withColumn("n_links", F.lit(0).cast("long")), [*columns, "n_links"]
+        by_set = materialize(by_set, "classes")
+        return tables.keep(members.where("n_shingles > 0 and doc_id is not null").join(by_set, "set_id").select(*columns).union(empty))
 
 
 def _repeats(members: DataFrame) -> bool:
@@ -397,34 +440,39 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.where(F.expr("shiftright(_bits, cast(_s % 64 as int)) & 1 = 1")).select("doc_id", "text").join(few, "doc_id")
 
 
+def _per_token(rows: DataFrame, of_token: DataFrame) -> DataFrame:
+    """``rows`` with a table of one row per hot n-gram, or of a few: a hot n-gram's rows stay where they are."""
+    of_token = materialize(of_token, "tokens")
+    return rows.join(F.broadcast(of_token) if of_token.count() <= TOKENS_BROADCAST else of_token, "token")
+
+
 def _able_members(hot: DataFrame) -> DataFrame:
     """Members of hot buckets that may link with another member, by position, size and shared n-grams."""
     bounds = hot.groupBy("token").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     room = F.floor(F.col("room") * 9 / 4) - F.col("n") >= F.col("least")
     smaller = 9 * (F.col("shared") + _suffix("n")) >= 4 * (F.col("n") + F.col("least"))
     larger = 9 * (F.col("shared") + _suffix("most")) >= 4 * (F.col("n") + F.col("most"))
-    return hot.join(bounds, "token").where(room & (smaller | larger)).select("token", "set_id", "n", "room", "shared")
+    return _per_token(hot, bounds).where(room & (smaller | larger)).select("token", "set_id", "n", "room", "shared")
 
 
 def _hot_pairs(hot: DataFrame, roots: DataFrame, centres: int) -> tuple[DataFrame, DataFrame] | None:
     """Members of hot buckets that may still join components, less this round's centres, and the pairs of
     these centres with them; None once every bucket is settled."""
     reach = F.floor(F.col("room") * 9 / 4).cast("long") - F.col("n")  # largest partner that the position allows
-    per = Window.partitionBy("token")
     labelled = hot.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select(*hot.columns, reach.alias("reach"), F.coalesce("root", "set_id").alias("label"))
+    labelled = materialize(labelled, "labelled")
     bounds = labelled.groupBy("token").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
-    able = labelled.join(bounds, "token").where("reach >= least and n <= most")
+    able = materialize(_per_token(labelled, bounds).where("reach >= least and n <= most").drop("least", "most"), "able")
     labels = able.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = labels.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "k").alias("main")).where("labels > 1")
-    left = materialize(able.join(main.select("token", "main"), "token").select(*hot.columns, "label", (F.col("label") == F.col("main")).alias("in_main")), "unsettled")
+    left = materialize(_per_token(able, main.select("token", "main")).select(*hot.columns, "label", (F.col("label") == F.col("main")).alias("in_main")), "unsettled")
     if not left.take(1):
-        discard(left)
         return None
     # members with the fewest n-grams of their own come first: the texts that others are copies of
-    rank = F.row_number().over(per.orderBy(F.desc("shared"), F.desc("room"), "set_id"))
-    picked = left.withColumn("_r", rank).where(F.col("_r") <= centres).drop("_r")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("shared"), F.desc("room"), "set_id"))
+    picked = materialize(left.withColumn("_r", rank).where(F.col("_r") <= centres).drop("_r"), "centres")
     x = picked.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_x"), F.col("room").alias("room_x"), F.col("shared").alias("shared_x"), F.col("label").alias("label_x"))
-    pairs = left.join(x, "token").where((F.col("label") != F.col("label_x")) & (9 * F.least("room", "room_x") >= 4 * (F.col("n") + F.col("n_x"))) & (9 * (F.least("shared", "shared_x") + F.greatest(_suffix("n"), _suffix("n_x"))) >= 4 * (F.col("n") + F.col("n_x"))))
+    pairs = _per_token(left, x).where((F.col("label") != F.col("label_x")) & (9 * F.least("room", "room_x") >= 4 * (F.col("n") + F.col("n_x"))) & (9 * (F.least("shared", "shared_x") + F.greatest(_suffix("n"), _suffix("n_x"))) >= 4 * (F.col("n") + F.col("n_x"))))
     pairs = pairs.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     rest = left.join(picked.select("token", "set_id"), ["token", "set_id"], "left_anti").select(*hot.columns)
     return materialize(rest, "hot"), pairs
