@@ -7,12 +7,14 @@
 5. token_files: token ids are written to files, and digests of what the files hold are returned.
 
 Nulls: see the operators.  A row without doc_id has no near duplicates; rows that share a doc_id
-stay together if one of them stays, and equal ones become one.
+stay together if one of them stays, and of those that share their text too one does, the first by its
+other columns (as JSON).  Empty tables give empty results.  Other columns, also ones named as an
+operator's outputs, go through all stages but the last unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,25 +24,33 @@ from stillwater.llm._scratch import materialize, new_path
 from stillwater.llm.decontaminate import clean_documents
 from stillwater.llm.ngram_join import ngram_components
 from stillwater.llm.quality import fit_quality, grades, score_quality
-from stillwater.llm.source_mix import expand, mix_sources
+from stillwater.llm.source_mix import MIX, expand, mix_sources
 from stillwater.llm.token_files import read_tokens, write_tokens
 from stillwater.session import ship
 
 
+def aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that have one of ``names`` under another name, and their own names by these."""
+    own = {f"_own_{i}_{c}": c for i, c in enumerate(docs.columns) if c.lower() in set(names)}
+    return docs.withColumnsRenamed({c: new for new, c in own.items()}), own
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with P(grade is good) of 0.5 or more."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    docs, own = aside(docs, ("expected_grade", "p_at_least_1", "p_at_least_2"))
     scored = score_quality(docs, fit_quality(docs, grades(labels), 3), 3)
-    return scored.where(F.coalesce(F.col("p_at_least_2") >= 0.5, F.lit(True))).select(*docs.columns)
+    return scored.where(F.coalesce(F.col("p_at_least_2") >= 0.5, F.lit(True))).select(*docs.columns).withColumnsRenamed(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each component of near duplicates."""
     ship(spark)
     first = materialize(ngram_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("id")).distinct(), "first")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    others = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))), {"ignoreNullFields": "false"})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), others.alias("others"))
     kept = rows.join(first, "id", "left_semi")
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))).where("nth = 1").select("row.*")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("others"))).where("nth = 1").select("row.*")
     return kept.union(docs.where("doc_id is null"))
 
 
@@ -52,7 +62,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     ship(spark)
-    return expand(mix_sources(docs))
+    docs, own = aside(docs, MIX)
+    return expand(mix_sources(docs)).withColumnsRenamed(own)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
