@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillwater.llm._bpe import encode_column, encoder
+from stillwater.session import ship
 
 #: documents whose id arrays train the dictionary (expected number, and the most), and its bytes
 DICT_DOCS, DICT_DOCS_MOST, DICT_BYTES, DICT_SAMPLE_BYTES = 1000, 4000, 32 << 10, 4096
@@ -62,11 +63,16 @@ def _train(path: str, size: int):
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", size: int = DICT_BYTES) -> tuple[str, bytes, str]:
-    """(hash, bytes, dtype) of a dictionary trained on about ``DICT_DOCS`` documents, those whose hashed id
-    falls into one residue class; of each, the first 8 x ``DICT_SAMPLE_BYTES`` of serialized ids."""
+    """(hash, bytes, dtype) of a dictionary trained on about ``DICT_DOCS`` documents, those whose hashed id and text
+    fall into one residue class (of more than ``DICT_DOCS_MOST``, those of least hash); of each, the first
+    8 x ``DICT_SAMPLE_BYTES`` of serialized ids.  Without any the dictionary is empty."""
     m = max(1, docs.count() // DICT_DOCS)
-    sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(m)) == 0).limit(DICT_DOCS_MOST)
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
+    sample = docs.where(F.pmod(h, F.lit(m)) == 0).select(h.alias("h"), F.col(text_col).alias("text"))
+    sample = sample.orderBy("h", "text").limit(DICT_DOCS_MOST).select("text")
     rows = sample.repartition(1).mapInArrow(_train(tokenizer, size), "dict_hash string, dictionary binary, dtype string").collect()
+    if not rows:
+        return hashlib.sha256(b"").hexdigest(), b"", np.dtype(encoder(tokenizer).dtype).name
     return rows[0]["dict_hash"], bytes(rows[0]["dictionary"]), rows[0]["dtype"]
 
 
@@ -127,7 +133,7 @@ def _writer(path: str, dict_hash: str, dictionary: bytes, dtype: str, end_id: in
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 3, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode every whole text and write the token folder ``path``."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     dict_hash, dictionary, dtype = train_dictionary(docs, tokenizer, text_col, id_col)
     spark.createDataFrame([(dict_hash, bytearray(dictionary), dtype, end_id)], "dict_hash string, dictionary binary, dtype string, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -180,7 +186,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False, only: int
 
     With ``only`` one document: blocks are pruned by their id range, and just its frames are decompressed.
     """
-    dict_hash, data, dtype = _dictionary(spark, path)
+    dict_hash, data, dtype = _dictionary(ship(spark), path)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     if only is not None:
         blocks = blocks.where((F.col("first_id") <= only) & (F.col("last_id") >= only))

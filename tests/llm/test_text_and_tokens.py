@@ -63,6 +63,17 @@ def test_token_files_empty(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "t"), digest=True).count() == 0
 
 
+def test_token_files_of_one_id(spark, tmp_path):
+    """Many rows of one doc_id: none or all of them may fall into the sample of the dictionary."""
+    for i, text in enumerate(("one text for all", None)):
+        rows = [(7, text, "en", "s", 0, *CLASH_VALUES)] * 2500
+        token_files.write_tokens(spark.createDataFrame(rows, DOCS + CLASHING), path := str(tmp_path / str(i)), PATH)
+        got = token_files.read_tokens(spark, path).collect()
+        want = [*encoder(PATH).tok.encode(text or "", add_special_tokens=False).ids, 2]
+        assert len(got) == 2500 and all(r.ids == want for r in got)
+        assert sorted(r.start for r in got) == [len(want) * k for k in range(2500)]
+
+
 def test_token_counts(spark):
     rows = [(*r, *CLASH_VALUES) for r in corpus()]
     docs = spark.createDataFrame(rows, DOCS + CLASHING)
