@@ -3,7 +3,8 @@
 Sizes are counted natively; per source a histogram of exact sizes decides how many documents of
 each size get one copy more than the others: a proportional share first, then the largest sizes
 that still fit, then a bounded-knapsack dynamic programme over the budget that is left.  Which
-documents these are follows from a seeded hash, so reruns agree.
+documents these are follows from a seeded hash of id and text, so reruns agree (of rows alike in
+id, text and source any may be the one).
 
 Defined results: a null or empty text has size 0; a null source is a source of its own, ordered
 last; documents of size 0 get the base copies of their source (they take nothing); an empty
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.llm._scratch import materialize
+from stillwater.session import ship
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: words that the dynamic programme spans at least; for longer documents four of the longest, as far as BITS allow
@@ -118,8 +120,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     Sources in code-point order weigh ``weights``, repeating; together they get ``share`` of all words, each
     at most ``most`` times its own; no document is taken more than ``most`` times.
     """
-    own = [c for c in docs.columns if c not in MIX]
-    rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    ship(docs.sparkSession)
+    own = [c for c in docs.columns if c.lower() not in MIX]
+    rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
     rows = rows.withColumn("part", F.pmod(F.col("h"), F.lit(SPLIT)))
     counts = materialize(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -134,12 +137,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     parts = counts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     parts = materialize(parts.select("s", "z", F.col("part").alias("p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("need")), "plan")
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-    order = Window.partitionBy("source", "size", "part").orderBy("h", "id")
+    order = Window.partitionBy("source", "size", "part").orderBy("h", "id", "t")
     copies = F.col("base") + (F.row_number().over(order) <= F.col("need")).cast("long")
     return rows.withColumn("copies", copies).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, without the mix_ columns."""
-    own = [c for c in mixed.columns if c not in MIX]
+    own = [c for c in mixed.columns if c.lower() not in MIX]
     return mixed.where(F.col("mix_copies") > 0).select(F.struct(*own).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")).select("row.*")
