@@ -2,8 +2,8 @@
 
 A document is the average of the embeddings of its letter trigrams and 4-grams (bytes, lower
 case, word ends marked), hashed to fixed tables; a linear layer and softmax give the language.
-Trained by stochastic gradient descent in numpy on a bounded sample: about ``PER_LANG`` documents
-of each language (10,000 languages at most), of each a passage of ``PASSAGE`` characters.  Probabilities are calibrated by a
+Trained by stochastic gradient descent in numpy on a bounded sample: ``PER_LANG`` documents of each
+language or more, less than twice as many, with their whole texts.  Probabilities are calibrated by a
 temperature fitted on sampled documents held back from training, which also set the score below
 which a prediction is rejected (``accepted``).  Predictions read whole texts: both layers being
 linear, they are one table of scores per subword.
@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillwater.llm._scratch import discard, materialize
 from stillwater.llm._text import _LOWER, column, slices
+from stillwater.session import ship
 
-PER_LANG, PASSAGE = 1500, 1500
+PER_LANG = 800
+#: languages whose sampling shares are broadcast at most (else documents are dealt by language)
+LANGS_BROADCAST = 1 << 16
 BITS, DIM, EPOCHS, RATE = 16, 16, 6, 0.5
 
 #: ASCII bytes other than letters end a word
@@ -176,15 +180,15 @@ def _has_ascii_letter(texts: pa.Array) -> np.ndarray:
 def identify_languages(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for every row; learns from rows where the column
     ``held_out`` is false and the language is known."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out")).where("not held_out and lang is not null and text is not null")
-    share = known.groupBy("lang").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) / PER_LANG)).alias("_m"))  # a row per language
-    h = F.xxhash64("doc_id")
-    passage = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, 1), greatest(length(text) - {PASSAGE}, 0) + 1) as int), {PASSAGE})")
-    sample = known.join(F.broadcast(share.limit(10_000)), "lang").where(F.pmod(h, F.col("_m")) == 0).select(passage.alias("text"), "lang")
+    share = materialize(known.groupBy("lang").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) / PER_LANG)).alias("_m")), "languages")  # a row per language
+    few = F.broadcast(share) if share.count() <= LANGS_BROADCAST else share
+    sample = known.join(few, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("_m")) == 0).select("text", "lang")
     got = sample.repartition(1).mapInArrow(_fit, "model binary").collect()
     import pickle
 
+    discard(share)
     model = spark.sparkContext.broadcast(pickle.loads(bytes(got[0]["model"])) if got else None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
