@@ -14,7 +14,7 @@ noise.
 Defined results: a null text, or one without words, has score 0; ratings that are null are left
 out, of several ratings of a document the lowest counts; without ratings every document is kept
 (grade and tails null); repeated rows get equal results; an empty table gives an empty result;
-other columns are kept.
+other columns are kept, but for ones named as the outputs, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stillwater.llm._text import _LOWER, _TABLE, Words, _pow, column, mix, slices
+from stillwater.session import ship
 
 #: rated documents to train on: expected number, and the most
 SAMPLE, SAMPLE_MOST = 6000, 10_000
@@ -149,18 +150,24 @@ def _fit(n_grades: int):
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """A model fitted on documents whose hashed id falls into one residue class; ``ratings``: id_col, grade."""
+    """A model fitted on documents whose hashed id falls into one residue class, of these the ``SAMPLE_MOST`` of least
+    hash at most; ``ratings``: id_col, grade."""
+    ship(docs.sparkSession)
     graded = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
     m = max(1, graded.count() // SAMPLE)
-    picked = graded.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(m)) == 0).groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").alias("grade")).limit(SAMPLE_MOST)
+    h = F.xxhash64("_id")
+    picked = graded.groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").alias("grade")).where(F.pmod(h, F.lit(m)) == 0)
+    picked = picked.orderBy(h, "_id").limit(SAMPLE_MOST)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "_id").select("text", F.col("grade").cast("int").alias("grade"))
-    got = sample.limit(SAMPLE_MOST).repartition(1).mapInArrow(_fit(n_grades), "model binary").collect()
+    sample = texts.join(F.broadcast(picked), "_id").select("_id", "text", F.col("grade").cast("int").alias("grade"))
+    sample = sample.orderBy(h, "_id", F.xxhash64("text"), "text").limit(SAMPLE_MOST).select("text", "grade")
+    got = sample.repartition(1).mapInArrow(_fit(n_grades), "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
 def score_quality(docs: DataFrame, model: dict | None, n_grades: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with expected_grade and p_at_least_1 ... p_at_least_{n_grades - 1}."""
+    """``docs`` with expected_grade and p_at_least_1 ... p_at_least_{n_grades - 1} (columns of these names are replaced)."""
+    ship(docs.sparkSession)
     names = [f"p_at_least_{k}" for k in range(1, n_grades)]
     docs = docs.drop("expected_grade", *names)
     if model is None:

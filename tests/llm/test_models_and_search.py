@@ -85,6 +85,78 @@ def test_quality(spark):
     assert none.count() == 602 and none.where("expected_grade is not null").count() == 0
 
 
+def test_quality_of_odd_tables(spark):
+    docs = spark.createDataFrame([], DOCS)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(docs, quality.fit_quality(docs, quality.grades(none), 3), 3).count() == 0
+    one = spark.createDataFrame([(1, 1, 0)], none.schema)
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 0)] * 3 + [(2, "c", "en", "s", 0)] * 2, DOCS)
+    got = quality.score_quality(docs, quality.fit_quality(docs, quality.grades(one), 3), 3).collect()
+    assert len(got) == 5 and len({(r.doc_id, r.expected_grade) for r in got}) == 2
+    assert quality.score_quality(docs.limit(0), quality.fit_quality(docs, quality.grades(one), 3), 3).count() == 0
+
+
+def test_quality_sample_is_the_same_in_every_run(spark, monkeypatch):
+    """More ratings than the sample holds, and fewer than twice the expected number."""
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    monkeypatch.setattr(quality, "SAMPLE_MOST", 50)
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, sentence(rng, 20), "en", "s", 0) for i in range(70)], DOCS)
+    labels = quality.grades(spark.createDataFrame([(i, i % 2, 0) for i in range(70)], "doc_id long, quality int, toxic int"))
+    one, two = (quality.fit_quality(docs.repartition(n), labels.repartition(n), 3) for n in (2, 7))
+    assert (one["w"] == two["w"]).all() and (one["cut"] == two["cut"]).all()
+
+
+def test_quality_gradient_and_score():
+    """The gradient against differences, and a text's score as the plain sum of its distinct features' weights."""
+    rng = np.random.default_rng(3)
+    z, y, cut = rng.normal(size=9), rng.integers(0, 4, 9), np.array([-1.0, 0.2, 1.5])
+
+    def loss(z, cut):
+        tail = np.concatenate([np.ones((9, 1)), 1 / (1 + np.exp(cut[None, :] - z[:, None])), np.zeros((9, 1))], axis=1)
+        return -np.log(tail[np.arange(9), y] - tail[np.arange(9), y + 1])
+
+    by_score, by_cut = quality._gradient(z, y, cut)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        assert abs((loss(z + step, cut) - loss(z - step, cut))[i] / 2e-6 - by_score[i]) < 1e-5
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert np.allclose((loss(z, cut + step) - loss(z, cut - step)) / 2e-6, by_cut[:, k], atol=1e-5)
+    texts = pa.array([r[1] or "" for r in corpus()])
+    model = {"w": rng.normal(size=1 << quality.BITS).astype(np.float32), "cut": np.array([-2.0, 1.0])}
+    got = quality.tails(model, texts)
+    for i, t in enumerate(texts.to_pylist()):
+        own, at = quality.features(pa.array([t]))
+        assert len(set(own.tolist())) == len(own) == at[1]
+        score = sum(float(model["w"][k]) for k in own)
+        assert np.allclose(got[i], [1 / (1 + np.exp(c - score)) for c in model["cut"]], atol=1e-6)
+
+
+def test_language_scores_are_averages():
+    """A table of scores per subword gives what averaging embeddings, then the linear layer, would."""
+    rng = np.random.default_rng(4)
+    emb, out = rng.normal(size=(2 << language_id.BITS, 3)), rng.normal(size=(3, 4))
+    texts = ["Un mot", "", "12 3", "eine längere Zeile", "x"]
+    rows, at = language_id.subwords(pa.array(texts))
+    got = language_id.logits(emb @ out, rows, at)
+    for i, t in enumerate(texts):
+        own, _ = language_id.subwords(pa.array([t]))
+        want = emb[own].mean(axis=0) @ out if len(own) else np.zeros(4)
+        assert np.allclose(got[i], want)
+    assert np.diff(at)[1] == np.diff(at)[2] == 0 and np.diff(at)[0] > 0
+
+
+def test_language_id_of_many_languages_and_clashes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGS_BROADCAST", 2)
+    rng = random.Random(16)
+    tongues = {f"l{k}": [sentence(rng, 1) + chr(97 + k) * 3 for _ in range(30)] for k in range(5)}
+    rows = [(i, " ".join(rng.choices(tongues[f"l{i % 5}"], k=30)), f"l{i % 5}", "s", 0, *CLASH_VALUES) for i in range(400)]
+    rows.append((1000, "mot " * 200_000, "l1", "s", 0, *CLASH_VALUES))
+    got = language_id.identify_languages(spark.createDataFrame(rows, DOCS + CLASHING), language_id.fold()).collect()
+    assert len(got) == 401 and np.mean([r.lang_pred == f"l{r.doc_id % 5}" for r in got if r.held_out]) > 0.97
+
+
 def weighted_leaks(docs, items):
     """All windows against all items, without fingerprints."""
     lower = lambda t: [w for w in words(t)]
@@ -258,6 +330,10 @@ def test_source_mix(spark):
         own = [r for r in got if r.source == s]
         assert abs(own[0].mix_target - share[s]) < 1e-6 and own[0].mix_source_size == sizes[s]
         assert abs(sum(r.mix_taken for r in own) - share[s]) <= 10
+    tied = [(7, f"{chr(97 + i % 26) * (1 + i // 26)} b", "en", "s1", 0) for i in range(200)] + [(8, "w " * 600, "en", "s2", 0)]
+    tied = spark.createDataFrame(tied, DOCS)  # equal ids, sources and sizes, other texts
+    one, two = (sorted((r.text, r.mix_copies) for r in source_mix.mix_sources(tied.repartition(n)).collect()) for n in (1, 7))
+    assert one == two and len({c for _, c in one}) > 1
     out = source_mix.expand(source_mix.mix_sources(docs)).collect()
     assert len(out) == sum(r.mix_copies for r in got)
     assert source_mix.mix_sources(docs.limit(0)).count() == 0
@@ -282,6 +358,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["source_mix"])
 
 
+def test_pipeline_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    """Columns named as outputs keep their values; of rows alike in id and text the first by its other columns stays."""
+    more = ", expected_grade double, p_at_least_2 double, mix_copies string, row string, id string"
+    rng = random.Random(17)
+    rows = [(i, sentence(rng, 30), "en", "s", i, 42.0, 0.5, "m", "r", "i") for i in range(30)]
+    rows += [(5, rows[5][1], "en", source, 5, 42.0, 0.5, "m", "r", "i") for source in ("t", "a", None)]
+    spark.createDataFrame(rows, DOCS + more).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names and {r[5:] for r in map(tuple, docs.collect())} == {(42.0, 0.5, "m", "r", "i")}
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in docs.collect()) == list(range(30))
+            assert [r.source for r in docs.where("doc_id = 5").collect()] == ["a"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
