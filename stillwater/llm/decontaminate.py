@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm._text import Words, column, gram_hashes, slices
+from stillwater.session import ship
 
 SHINGLE, LEAST, RADIUS, SHARD = 5, 0.8, 22, 20_000
 #: pairs of a shingle in a text and an item that are looked at together
@@ -166,6 +167,8 @@ class Benchmark:
                 old = best.get((d, item))
                 if old is None or (value, -first) > (old[0], -old[1]):
                     best[d, item] = (value, first)
+                if value >= 1 - 1e-12:  # no later window is better
+                    break
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +192,7 @@ def _rarity(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _shards(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> list:
     """Broadcast shards of at most about ``SHARD`` items."""
+    ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     n = max(1, -(-items.count() // SHARD))
     rarity = _rarity(items) if n > 1 else None

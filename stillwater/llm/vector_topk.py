@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwater.session import ship
+
 #: components of queries broadcast at once (8 bytes each)
 QUERY_CELLS = 1 << 19
 #: dimensions per block, and candidates in a vertical tile
@@ -136,7 +138,7 @@ def _search(block, k: int, scale: int):
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of floor(scale x component) vectors for
     each row of ``queries`` against all of ``vectors`` but itself, ties to the smaller id."""
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     wanted, rows = pick(queries), pick(vectors)
     n, longest = wanted.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
