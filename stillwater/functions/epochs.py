@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,28 @@ GRACE = 2  # epochs between retiring and freeing
 OPS = ("enter", "exit", "retire", "collect", "thread_exit")
 
 
-def bucket_index(epoch: Column) -> Column:
+@dataclass(frozen=True)
+class Rules:
+    """What may be tuned: shared buckets, and the length at which a list is handed over."""
+
+    buckets: int = EPOCH_BUCKETS
+    batch: int = LOCAL_BATCH
+
+    def __post_init__(self):
+        if self.buckets < 1 or self.batch < 1:
+            raise ValueError("buckets and batch must be 1 or more")
+
+    @property
+    def exit_batch(self) -> int:
+        return self.batch // 2
+
+
+RULES = Rules()
+
+
+def bucket_index(epoch: Column, rules: Rules = RULES) -> Column:
     """The bucket of a retire epoch."""
-    return (epoch % EPOCH_BUCKETS).cast("long")
+    return (epoch % rules.buckets).cast("long")
 
 
 def safe_epoch(current: Column) -> Column:

@@ -33,7 +33,7 @@ def ebr_pin_depth(r: Replay) -> DataFrame:
 
 
 def ebr_pin_intervals(r: Replay) -> DataFrame:
-    pinned = current_epoch(r.pins, r.timeline, "open_seq", "pinned_epoch")
+    pinned = current_epoch(r.pins, r.timeline, "open_seq", "pinned_epoch", r.width)
     return pinned.select("participant", "open_seq", "close_seq", "pinned_epoch")
 
 
@@ -54,7 +54,7 @@ def ebr_epoch_timeline(r: Replay) -> DataFrame:
 
 
 def ebr_current_epoch(r: Replay) -> DataFrame:
-    return current_epoch(r.ops.select("manager_id", "seq"), r.timeline, "seq", "current_epoch").select("seq", "current_epoch")
+    return current_epoch(r.ops.select("manager_id", "seq"), r.timeline, "seq", "current_epoch", r.width).select("seq", "current_epoch")
 
 
 def ebr_retired_stamped(r: Replay) -> DataFrame:
@@ -85,11 +85,15 @@ def ebr_backlog(r: Replay) -> DataFrame:
     return r.backlog.select("seq", "epoch_after", "outstanding")
 
 
+def ebr_hazards(r: Replay) -> DataFrame:
+    return r.hazards.select("thread_id", "seq", "hazard")
+
+
 def _query(f: Callable[[Replay], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(replay(spark, sf_dir))
 
 
-_ALL = (ebr_trace, ebr_participants, ebr_pin_depth, ebr_pin_intervals, ebr_unbalanced_exits, ebr_flushes, ebr_attempts, ebr_epoch_timeline, ebr_current_epoch, ebr_retired_stamped, ebr_reclaimed, ebr_lag_histogram, ebr_bucket_occupancy, ebr_shutdown, ebr_deleter_summary, ebr_backlog)
+_ALL = (ebr_trace, ebr_participants, ebr_pin_depth, ebr_pin_intervals, ebr_unbalanced_exits, ebr_flushes, ebr_attempts, ebr_epoch_timeline, ebr_current_epoch, ebr_retired_stamped, ebr_reclaimed, ebr_lag_histogram, ebr_bucket_occupancy, ebr_shutdown, ebr_deleter_summary, ebr_backlog, ebr_hazards)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in _ALL}
 
 #: CTEs, one per stage; each is written apart from the DataFrame form (recursion, ASOF and range joins)
@@ -100,12 +104,15 @@ WITH RECURSIVE raw AS (
       WHEN 'error' THEN CASE WHEN event_id % 101 = 0 THEN 'collect' ELSE 'exit' END
       WHEN 'signup' THEN CASE WHEN event_id % 97 = 0 THEN 'thread_exit' ELSE 'retire' END END AS op
   FROM events),
+used AS (
+  SELECT * FROM (SELECT *, lag(op) OVER (PARTITION BY thread_id ORDER BY seq) AS prev FROM raw WHERE op IS NOT NULL)
+  WHERE op <> 'thread_exit' OR (prev IS NOT NULL AND prev <> 'thread_exit')),
 ops AS (
   SELECT seq, thread_id,
     CAST(coalesce(sum(CASE WHEN op = 'thread_exit' THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS generation,
     op, CASE WHEN op = 'retire' THEN seq END AS ptr,
     CASE WHEN op = 'retire' THEN CASE WHEN seq % 2 = 0 THEN 'free' ELSE 'delete' END END AS deleter
-  FROM raw WHERE op IS NOT NULL),
+  FROM used),
 named AS (SELECT *, CAST(thread_id AS VARCHAR) || ':' || CAST(generation AS VARCHAR) AS participant FROM ops),
 walk AS (
   SELECT *, sum(CASE op WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY seq) AS s,
@@ -183,6 +190,7 @@ _SELECTS = {
     "ebr_bucket_occupancy": "SELECT bucket, retire_epoch, count(*) AS n FROM fates WHERE fate = 'shutdown' GROUP BY ALL",
     "ebr_shutdown": "SELECT fate, count(*) AS n FROM fates GROUP BY fate",
     "ebr_deleter_summary": "SELECT deleter, fate, count(*) AS n FROM fates GROUP BY ALL",
+    "ebr_hazards": "SELECT thread_id, seq, CASE op WHEN 'exit' THEN 'unbalanced_exit' WHEN 'collect' THEN 'pinned_collect' ELSE 'pinned_thread_exit' END AS hazard FROM (SELECT thread_id, seq, op, coalesce(lag(depth) OVER (PARTITION BY participant ORDER BY seq), 0) AS was FROM deep) WHERE (op = 'exit' AND was = 0) OR (op IN ('collect', 'thread_exit') AND was > 0)",
     "ebr_backlog": "SELECT e.seq, e.epoch_after, CAST((SELECT count(*) FROM fates x WHERE x.seq <= e.seq) - (SELECT count(*) FROM fates y WHERE y.reclaim_seq <= e.seq) AS BIGINT) AS outstanding FROM epochs e",
 }
 SQL = {name: f"{_STAGES}{select}" for name, select in _SELECTS.items()}

@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwater.operators import epoch_chain, flushes, participants, pins, reclaim
+from stillwater.functions.epochs import RULES, Rules
+from stillwater.operators import blocks, epoch_chain, flushes, participants, pins, reclaim
 from stillwater.scratch import materialize
 from stillwater.session import ship
 
@@ -20,18 +21,24 @@ class Replay:
     computed twice and a lost executor costs only its tasks.
     """
 
-    def __init__(self, trace: DataFrame, storage=materialize):
+    def __init__(self, trace: DataFrame, storage=materialize, rules: Rules = RULES):
         ship(trace.sparkSession)
         self.trace = trace
+        self.rules = rules
         self._keep = storage
 
     @cached_property
-    def ops(self) -> DataFrame:
-        return participants.with_participants(self.trace)
+    def width(self) -> int:
+        """Values of seq per block."""
+        return blocks.span(self.trace, "seq")
 
     @cached_property
     def deep(self) -> DataFrame:
-        return self._keep(pins.with_depth(self.ops), "deep")
+        return self._keep(participants.with_depth(self.trace, self.width), "deep")
+
+    @cached_property
+    def ops(self) -> DataFrame:
+        return self.deep.drop("before", "depth")
 
     @cached_property
     def registry(self) -> DataFrame:
@@ -39,24 +46,28 @@ class Replay:
 
     @cached_property
     def pins(self) -> DataFrame:
-        return self._keep(pins.pin_intervals(self.deep), "pins")
+        return self._keep(pins.pin_intervals(self.deep, self.width), "pins")
 
     @cached_property
     def unbalanced(self) -> DataFrame:
         return pins.unbalanced_exits(self.deep)
 
+    @cached_property
+    def hazards(self) -> DataFrame:
+        return pins.hazards(self.trace, self.deep)
+
     @cached_property
     def flushes(self) -> DataFrame:
-        return self._keep(flushes.flushes(self.deep), "flushes")
+        return self._keep(flushes.flushes(self.deep, self.width, self.rules), "flushes")
 
     @cached_property
     def retired(self) -> DataFrame:
-        return flushes.retired(self.deep, self.flushes)
+        return flushes.retired(self.deep, self.flushes, self.width)
 
     @cached_property
     def epochs(self) -> DataFrame:
-        decided = epoch_chain.decided(flushes.attempts(self.deep, self.flushes), self.pins)
-        return self._keep(epoch_chain.with_epochs(decided), "epochs")
+        held = self._keep(epoch_chain.held(flushes.attempts(self.deep, self.flushes), self.pins, self.width), "tries")
+        return self._keep(epoch_chain.with_epochs(held, self.width, self.rules), "epochs")
 
     @cached_property
     def timeline(self) -> DataFrame:
@@ -64,11 +75,11 @@ class Replay:
 
     @cached_property
     def stamped(self) -> DataFrame:
-        return reclaim.stamped(self.retired, self.timeline)
+        return reclaim.stamped(self.retired, self.timeline, self.width, self.rules)
 
     @cached_property
     def fates(self) -> DataFrame:
-        return self._keep(reclaim.fates(self.stamped, self.epochs, self.timeline), "fates")
+        return self._keep(reclaim.fates(self.stamped, self.epochs, self.timeline, self.width), "fates")
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -80,4 +91,4 @@ class Replay:
 
     @cached_property
     def backlog(self) -> DataFrame:
-        return reclaim.backlog(self.fates, self.epochs)
+        return reclaim.backlog(self.fates, self.epochs, self.width)

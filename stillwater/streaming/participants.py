@@ -17,11 +17,11 @@ from stillwater.functions.epochs import is_effective
 from stillwater.operators.flushes import step
 
 EVENTS = "manager_id long, participant string, seq long, event string, open_seq long, n_nodes long"
-_STATE = "last_seq long, generation long, depth long, open_seq long, size long"
+_STATE = "last_seq long, generation long, depth long, open_seq long, size long, live boolean"
 
 
 def _advance(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, generation, depth, opened, size = state.get if state.exists else (-(1 << 63), 0, 0, None, 0)
+    last, generation, depth, opened, size, live = state.get if state.exists else (-(1 << 63), 0, 0, None, 0, False)
     manager, thread = key
     out = []
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
@@ -31,6 +31,9 @@ def _advance(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.
             out.append((manager, name, seq, "late", None, None))
             continue
         last, kind, ends = seq, None, False
+        if op == "thread_exit" and not live:  # of no participant
+            continue
+        live = op != "thread_exit"
         if op == "enter":
             depth += 1
             if depth == 1:
@@ -54,7 +57,7 @@ def _advance(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.
             opened = None
         if op == "thread_exit":
             generation, depth = generation + 1, 0
-    state.update((last, generation, depth, opened, size))
+    state.update((last, generation, depth, opened, size, live))
     if out:
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
         yield frame.astype({"participant": object, "event": object, "open_seq": "Int64", "n_nodes": "Int64"})

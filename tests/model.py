@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 
-def run(ops: list[tuple]) -> dict:
+def run(ops: list[tuple], n_buckets: int = 3, batch: int = 64) -> dict:
     """ops: (seq, thread_id, op, ptr, deleter) in order."""
     epoch, buckets = 1, defaultdict(list)
     threads: dict = {}
@@ -17,7 +17,7 @@ def run(ops: list[tuple]) -> dict:
             out["flushes"].append((t["name"], seq, reason, len(t["list"])))
             for node in t["list"]:
                 node["flush"] = seq
-                buckets[node["epoch"] % 3].append(node)
+                buckets[node["epoch"] % n_buckets].append(node)
             t["list"] = []
 
     def attempt(t, seq, trigger):
@@ -28,17 +28,19 @@ def run(ops: list[tuple]) -> dict:
             out["advances"].append((epoch, seq))
         if epoch >= 2:
             keep = []
-            for node in buckets[(epoch - 2) % 3]:
+            for node in buckets[(epoch - 2) % n_buckets]:
                 if node["epoch"] <= epoch - 2:
                     node["freed"], node["lag"] = seq, epoch - node["epoch"]
                 else:
                     keep.append(node)
-            buckets[(epoch - 2) % 3] = keep
+            buckets[(epoch - 2) % n_buckets] = keep
         out["attempts"].append((seq, t["name"], trigger, bool(held), epoch))
 
     for seq, thread, op, ptr, deleter in ops:
         if op == "retire" and (ptr is None or deleter is None):
             continue
+        if op == "thread_exit" and thread not in threads:
+            continue  # it never used the manager, or not since it ended
         if thread not in threads:
             threads[thread] = {"name": f"{thread}:{generation[thread]}", "depth": 0, "active": False, "pinned": 0, "list": [], "open": None}
         t = threads[thread]
@@ -54,7 +56,7 @@ def run(ops: list[tuple]) -> dict:
                 if t["open"] is not None:
                     out["pins"][t["name"], t["open"]] = seq
                 t["depth"], t["active"], t["open"] = 0, False, None
-                if len(t["list"]) >= 32:
+                if len(t["list"]) >= batch // 2:
                     flush(t, seq, "exit")
             else:
                 t["depth"] -= 1
@@ -62,7 +64,7 @@ def run(ops: list[tuple]) -> dict:
             node = {"epoch": epoch, "flush": None, "freed": None, "lag": None}
             out["nodes"][seq] = node
             t["list"].append(node)
-            if len(t["list"]) >= 64:
+            if len(t["list"]) >= batch:
                 flush(t, seq, "retire")
                 attempt(t, seq, "retire")
         elif op == "collect":

@@ -5,9 +5,10 @@ import random
 import pytest
 from model import run
 
-from stillwater.functions.epochs import EPOCH_BUCKETS, LOCAL_BATCH
+from stillwater.functions.epochs import EPOCH_BUCKETS, LOCAL_BATCH, Rules
 from stillwater.operators import blocks
 from stillwater.plans.replay import Replay
+from stillwater.scratch import materialize
 from stillwater.sources.trace import TRACE, read_trace, validate, write_trace
 
 
@@ -43,12 +44,15 @@ TRACES = [
     steps((0, "enter", 1), (0, "retire", 2), (0, "collect", 3), (0, "exit", 3), (0, "collect", 2)),
     steps((0, "retire*", 5), (0, "collect", 1)),
     steps((0, "enter", 1), (1, "retire", 70), (1, "collect", 9)),
+    steps((0, "thread_exit", 4), (1, "collect", 1)),
+    steps((0, "retire", 2), (0, "thread_exit", 3), (1, "thread_exit", 1), (0, "enter", 1), (1, "collect", 2), (0, "thread_exit", 70), (0, "retire*", 1), (0, "thread_exit", 1), (1, "collect", 3)),
 ]
 
 
-@pytest.fixture(scope="module", params=[1 << 16, 64], ids=["one block", "many blocks"])
+@pytest.fixture(scope="module", params=[(1 << 16, 1 << 19), (64, 1 << 19), (64, 0)], ids=["one block", "many blocks", "no broadcast"])
 def replayed(spark, request):
-    old, blocks.BLOCK = blocks.BLOCK, request.param
+    old = blocks.ROWS, blocks.LOOKUP
+    blocks.ROWS, blocks.LOOKUP = request.param
     rows = [(m, *op) for m, trace in enumerate(TRACES) for op in trace]
     r = Replay(spark.createDataFrame(rows, TRACE))
     got = {
@@ -62,7 +66,7 @@ def replayed(spark, request):
         "backlog": r.backlog.collect(),
     }
     yield got
-    blocks.BLOCK = old
+    blocks.ROWS, blocks.LOOKUP = old
 
 
 @pytest.mark.parametrize("m", range(len(TRACES)))
@@ -91,6 +95,51 @@ def test_invariants(replayed):
             assert not any(m == r.manager_id and o < r.seq and (c is None or c > r.reclaim_seq) for m, o, c in pins)
 
 
+def test_sparse_order(spark, monkeypatch):
+    """Times as seq: blocks hold as many rows as with dense ones."""
+    dense = random_trace(6, 400, [2, 3, 6, 1, 1])
+    sparse = [(seq * 10**9 + 7, *rest) for seq, *rest in dense]
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    got = [Replay(spark.createDataFrame([(0, *op) for op in ops], TRACE)) for ops in (dense, sparse)]
+    assert got[1].deep.select(blocks.block_of("seq", got[1].width)).distinct().count() <= 9
+    one, two = ({(r.seq, r.flush_seq, r.reclaim_seq) for r in x.fates.collect()} for x in got)
+    far = lambda s: None if s is None else s * 10**9 + 7
+    assert two == {tuple(map(far, r)) for r in one} and len(one) > 100
+
+
+@pytest.mark.parametrize("rules", [Rules(buckets=5, batch=8), Rules(buckets=1, batch=1)])
+def test_other_rules(spark, rules):
+    trace = random_trace(7, 500, [3, 4, 9, 1, 1])
+    want = run(trace, rules.buckets, rules.batch)
+    r = Replay(spark.createDataFrame([(0, *op) for op in trace], TRACE), rules=rules)
+    assert {x.seq: (x.retire_epoch, x.flush_seq, x.reclaim_seq) for x in r.fates.collect()} == {s: (n["epoch"], n["flush"], n["freed"]) for s, n in want["nodes"].items()}
+    assert sorted((x.participant, x.seq, x.reason, x.n_nodes) for x in r.flushes.collect()) == sorted(want["flushes"])
+    with pytest.raises(ValueError):
+        Rules(buckets=0)
+
+
+def test_hazards(spark):
+    ops = steps((0, "exit", 1), (0, "retire*", 2), (0, "enter", 2), (0, "collect", 1), (0, "exit", 1), (0, "thread_exit", 2), (1, "thread_exit", 1))
+    r = Replay(spark.createDataFrame([(0, *op) for op in ops], TRACE))
+    assert sorted((x.seq, x.hazard) for x in r.hazards.collect()) == [(0, "unbalanced_exit"), (1, "leaked_retire"), (2, "leaked_retire"), (5, "pinned_collect"), (7, "pinned_thread_exit")]
+
+
+@pytest.mark.parametrize(("lookup", "most"), [(1 << 19, 2), (0, 6)])
+def test_stored_stages_are_read_once(spark, monkeypatch, lookup, most):
+    """What tells where each object is freed reads objects and beginnings of epochs once; where nothing may be
+    broadcast, as often as one as-of join does."""
+    monkeypatch.setattr(blocks, "LOOKUP", lookup)
+    plans = []
+
+    def store(df, tag):
+        if tag == "fates":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return materialize(df, tag)
+
+    Replay(spark.createDataFrame([(0, *op) for op in TRACES[0]], TRACE), storage=store).fates  # noqa: B018
+    assert len(plans) == 1 and plans[0] <= most
+
+
 def test_trace_round_trip(spark, tmp_path):
     rows = [(0, *op) for op in TRACES[7]]
     for fmt in ("parquet", "json", "csv", "orc"):
