@@ -1,16 +1,21 @@
-"""Benchmark decontamination by exact weighted similarity of item-sized windows.
+"""Benchmark decontamination by SimHash of item-sized windows and exact weighted similarity.
 
-For every benchmark item, windows of as many words as the item has are compared with it:
+For every benchmark item, windows of as many words as the item has are compared with it (a shorter
+text is one window):
 
 1. A window can only reach ``LEAST`` if it shares one of the item's rarest shingles: of those whose
-   weight is just over what the similarity lets the two differ by.  Windows around these are looked at, and all of them.
-2. Running sums bound what such a window and the item share; below what ``LEAST`` asks for it is dropped.
-3. Weighted Jaccard similarity of the shingles (weighted by how rare they are in the benchmark),
+   weight is just over what the similarity lets the two differ by.  All windows around these get a fingerprint.
+2. A fingerprint has a bit for the sign of each of ``BITS`` sums over the window's distinct shingles, of the
+   root of a shingle's weight times a normal number that its hash gives.  Sets of similarity J have vectors
+   of cosine 2 J / (1 + J) or more whatever their weights, and with normal numbers each bit differs with
+   probability angle / pi exactly: at J = 0.8 38.8 of 256 bits are expected to, with a deviation of 5.7.
+   ``RADIUS`` lies over five deviations above; a pair just at 0.8 is lost once in some millions.
+3. An index of the items of each size gives all fingerprints within the radius: of four blocks of 64 bits,
+   one at least is within a fourth of it.  (Blocks that must be equal would have four bits or fewer at
+   this radius, and nearly every pair agrees in one of those.)
+4. Weighted Jaccard similarity of the shingles (weighted by how rare they are in the benchmark),
    exact, verifies each candidate (0.8 or more).
 
-Nothing is dropped by a fingerprint: no radius of a SimHash holds at any weights (two heavy shingles that
-cancel leave its bits to light ones), so ``HammingIndex`` isn't part of the scan.
-
 Words are lower-cased (A-Z); shingles are five words, of a shorter item the whole item.
 
 The benchmark is broadcast in shards of ``SHARD`` items; each shard scans the documents once.
@@ -26,47 +31,61 @@ ignored (``find_leaks``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwater.llm._text import Words, column, gram_hashes, slices
+from stillwater.llm._heavy import contained
+from stillwater.llm._text import Words, column, gram_hashes, mix, slices
 from stillwater.session import ship
 
-SHINGLE, LEAST, RADIUS, SHARD = 5, 0.8, 22, 20_000
-#: pairs of a shingle in a text and an item that are looked at together
-PAIRS = 1 << 20
+SHINGLE, LEAST, SHARD = 5, 0.8, 20_000
+#: bits of a fingerprint (in blocks of 64), and the most that similar ones differ in
+BITS, RADIUS = 256, 68
+#: windows that get fingerprints together, and pairs of fingerprints compared together
+RUN, PAIRS = 1 << 11, 1 << 22
+
+
+@cache
+def _normal() -> np.ndarray:
+    """The quantiles of the normal distribution at 2^16 even steps."""
+    half = np.array([NormalDist().inv_cdf((i + 0.5) / (1 << 16)) for i in range(1 << 15)])
+    return np.concatenate([half, -half[::-1]]).astype(np.float32)
+
+
+def _projections(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` normal numbers of each shingle, from its hash."""
+    salts = mix(np.arange(1, BITS // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _normal()[mix(shingles[:, None] ^ salts[None, :]).view(np.uint16)]
+
+
+def _bits(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums >= 0, axis=1).view(np.uint64)
 
 
 class HammingIndex:
-    """All stored 64-bit fingerprints within ``radius`` bits of a query."""
+    """All stored fingerprints (rows of 64-bit blocks) within ``radius`` bits of a query."""
 
     def __init__(self, fingerprints: np.ndarray, radius: int = RADIUS):
-        self.fingerprints, self.radius = fingerprints, radius
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.tables = []
-        for shift, mask in self.blocks:
-            key = (fingerprints >> shift) & mask
-            order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], order))
+        self.blocks, self.radius = np.ascontiguousarray(fingerprints.T), radius
 
     def query(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, stored)."""
-        found = []
-        for (shift, mask), (keys, order) in zip(self.blocks, self.tables, strict=True):
-            key = (fingerprints >> shift) & mask
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            n = hi - lo
-            q = np.repeat(np.arange(len(key)), n)
-            s = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-            found.append(q * len(self.fingerprints) + s)
-        pairs = np.unique(np.concatenate(found))
-        q, s = pairs // len(self.fingerprints), pairs % len(self.fingerprints)
-        near = np.bitwise_count(fingerprints[q] ^ self.fingerprints[s]) <= self.radius
-        return q[near], s[near]
+        """Pairs (query, stored): those of which a block is near enough, then those near as a whole."""
+        found, n = [], max(1, PAIRS // max(1, self.blocks.shape[1]))
+        for lo in range(0, len(fingerprints), n):
+            part = fingerprints[lo : lo + n]
+            near = np.zeros((len(part), self.blocks.shape[1]), dtype=bool)
+            for k, block in enumerate(self.blocks):
+                near |= np.bitwise_count(part[:, k, None] ^ block[None, :]) <= self.radius // len(self.blocks)
+            q, s = np.nonzero(near)
+            apart = np.bitwise_count(part[q] ^ self.blocks.T[s]).sum(axis=1, dtype=np.int64)
+            found.append((q[apart <= self.radius] + lo, s[apart <= self.radius]))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
 
 
 class Benchmark:
@@ -87,16 +106,24 @@ class Benchmark:
         n_items, self.known, df = rarity
         self.weight, self.rare = 1 + np.log(max(1, n_items) / df), 1 + np.log(max(1, n_items))
         self.mass = [float(self.weights(s).sum()) for s in self.sets]
-        # of items of n-word shingles: their rarest shingles, sorted, and the items that hold them
+        prints = np.concatenate([np.zeros((0, BITS // 64), np.uint64), *(self._fingerprint(x) for x in self.sets)])
+        #: items of each size, and the index of their fingerprints
+        self.classes = {size: (of := np.flatnonzero(self.sizes == size), HammingIndex(prints[of])) for size in np.unique(self.sizes).tolist()}
+        # of items of n-word shingles: their rarest shingles, sorted, and the sizes of the items that hold them
         self.posts, self.filter = {}, np.zeros(1 << 20, dtype=bool)
         for n in np.unique(self.n).tolist():
             of = np.flatnonzero(self.n == n)
             rarest = [self._rarest(i) for i in of]
-            token, owner = np.concatenate(rarest), np.repeat(of, [len(x) for x in rarest])
-            o = np.argsort(token, kind="stable")
-            self.posts[n] = (token[o], owner[o])
+            token, size = np.concatenate(rarest), np.repeat(self.sizes[of], [len(x) for x in rarest])
+            o = np.lexsort((size, token))
+            token, size = token[o], size[o]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (size[1:] != size[:-1])])
+            self.posts[n] = (token[new], size[new])
             self.filter[(token >> np.uint64(44)).astype(np.int64)] = True
 
+    def _fingerprint(self, shingles: np.ndarray) -> np.ndarray:
+        return _bits((_projections(shingles) * np.sqrt(self.weights(shingles))[:, None]).sum(axis=0, dtype=np.float64)[None, :])
+
     def _rarest(self, item: int) -> np.ndarray:
         """Shingles of which a window of similarity ``LEAST`` holds one: without them too little could be shared."""
         weight = self.weights(self.sets[item])
@@ -109,65 +136,77 @@ class Benchmark:
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[at] == shingles, self.weight[at], self.rare)
 
-    def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, float]]:
-        """(text, item, first word, similarity), the best window of each pair."""
+    def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
+        """(text, item, first word, words, similarity), the best window of each pair."""
         w = Words(texts, lower=True)
         h = w.hashes()
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for n, (token, owner) in self.posts.items():
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for n, (token, size) in self.posts.items():
             grams = gram_hashes(h, n)
             if not len(grams):
                 continue
             maybe = np.flatnonzero(self.filter[(grams >> np.uint64(44)).astype(np.int64)])
             maybe = maybe[w.doc[maybe] == w.doc[maybe + n - 1]]
             lo, hi = np.searchsorted(token, grams[maybe]), np.searchsorted(token, grams[maybe], side="right")
-            hit = hi > lo
-            maybe, lo, count = maybe[hit], lo[hit], (hi - lo)[hit]
-            ends = np.cumsum(count)
-            a = 0
-            while a < len(maybe):
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] - count[a] + PAIRS, side="right")))
-                k = count[a:b]
-                pos = np.repeat(maybe[a:b], k)
-                item = owner[np.arange(len(pos)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[a:b], k)]
-                self._regions(w, grams, n, pos, item, best)
-                a = b
-        return [(d, i, s, v) for (d, i), (v, s) in sorted(best.items())]
-
-    def _regions(self, w: Words, grams, n, pos, item, best) -> None:
-        """Look at the windows around the shingles at ``pos``, each rare in its ``item``."""
-        o = np.lexsort((pos, item))
-        pos, item = pos[o], item[o]
-        doc, m = w.doc[pos], self.sizes[item] - n + 1
-        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > m[1:])]))
-        for i, d, first, last in zip(item[new].tolist(), doc[new].tolist(), pos[new].tolist(), pos[np.append(new[1:], len(pos)) - 1].tolist(), strict=True):
-            size = int(self.sizes[i])
-            lo, hi = max(first - (size - n), int(w.bounds[d])), min(last, int(w.bounds[d + 1]) - size)
-            if lo <= hi:
-                self._windows(w, grams, size - n + 1, i, d, lo, hi, best)
-
-    def _windows(self, w: Words, grams, m, item, d, lo, hi, best) -> None:
-        """Compare the windows of m shingles that start at lo to hi, in text d, with the item."""
-        own, known, mass = grams[lo : hi + m], self.sets[item], self.mass[item]
+            pos = np.repeat(maybe, hi - lo)
+            sizes = size[np.arange(len(pos)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            for own in np.unique(sizes).tolist():
+                self._around(w, grams, n, own, pos[sizes == own], best)
+        return [(d, i, first, words, value) for (d, i), (value, first, words) in sorted(best.items())]
+
+    def _around(self, w: Words, grams, n, size, pos, best) -> None:
+        """Look at the windows of ``size`` words around the shingles at ``pos``, each rare in an item of that size."""
+        doc = w.doc[pos]
+        m = np.minimum(size, w.counts[doc]) - n + 1  # shingles of a window
+        lo, hi = np.maximum(pos - m + 1, w.bounds[doc]), np.minimum(pos, w.bounds[doc + 1] - n + 1 - m)
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)]))
+        last = np.append(new[1:], len(pos)) - 1
+        for d, k, a, b in zip(doc[new].tolist(), m[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True):
+            for begin in range(a, b + 1, RUN):
+                self._run(w, grams, k, n, size, d, begin, min(begin + RUN - 1, b), best)
+
+    def _run(self, w: Words, grams, m, n, size, d, lo, hi, best) -> None:
+        """Compare the windows of m shingles that start at lo to hi, in text d, with the items of ``size`` words."""
+        own, windows = grams[lo : hi + m], hi - lo + 1
         weight = self.weights(own)
-        sums = np.zeros((2, len(own) + 1))
-        np.cumsum(np.where(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own, weight, 0), out=sums[0, 1:])
-        np.cumsum(weight, out=sums[1, 1:])
-        shared, total = sums[:, m:] - sums[:, :-m]  # a shingle that a window repeats counts each time
-        able = shared >= (LEAST - 1e-9) * mass
-        if able.any() and len(np.unique(own)) == len(own):
-            able &= shared >= (LEAST - 1e-9) * (total + mass - shared)
-        for begin in (lo + np.flatnonzero(able)).tolist():
-            window = np.unique(grams[begin : begin + m])
-            both = np.intersect1d(window, known, assume_unique=True)
-            shared = float(self.weights(both).sum())
-            value = shared / (float(self.weights(window).sum()) + mass - shared)
-            if value >= LEAST - 1e-12:
-                first = begin - int(w.bounds[d])
-                old = best.get((d, item))
-                if old is None or (value, -first) > (old[0], -old[1]):
-                    best[d, item] = (value, first)
-                if value >= 1 - 1e-12:  # no later window is better
+        # a shingle counts for the windows that start after its last occurrence, up to its own place
+        at = np.arange(len(own))
+        o = np.argsort(own, kind="stable")
+        again = np.flatnonzero(own[o][1:] == own[o][:-1])
+        first = np.maximum(at - m + 1, 0)
+        first[o[again + 1]] = np.maximum(first[o[again + 1]], o[again] + 1)
+        end = np.minimum(at, windows - 1) + 1
+        held = first < end
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            out = np.zeros((windows + 1, *values.shape[1:]))
+            np.add.at(out, first[held], values[held])
+            np.subtract.at(out, end[held], values[held])
+            return np.cumsum(out, axis=0)[:-1]
+
+        if len(again):
+            turned = sums(_projections(own) * np.sqrt(weight)[:, None])
+        else:
+            upto = np.zeros((len(own) + 1, BITS))
+            np.cumsum(_projections(own) * np.sqrt(weight)[:, None], axis=0, out=upto[1:])
+            turned = upto[m:] - upto[:-m]
+        of, index = self.classes[size]
+        window, stored = index.query(_bits(turned))
+        total = sums(weight) if len(window) else None
+        for item in np.unique(of[stored]).tolist():
+            known, mass = self.sets[item], self.mass[item]
+            shared = sums(np.where(contained(own, known), weight, 0.0))
+            value = shared / (total + mass - shared)
+            able = np.sort(window[of[stored] == item])
+            able = able[value[able] >= max(LEAST, float(value[able].max())) - 1e-9]
+            for begin in (lo + able).tolist():
+                mine = np.unique(grams[begin : begin + m])
+                both = float(self.weights(np.intersect1d(mine, known, assume_unique=True)).sum())
+                exact = both / (float(self.weights(mine).sum()) + mass - both)
+                place = begin - int(w.bounds[d])
+                if exact >= LEAST - 1e-12 and ((old := best.get((d, item))) is None or (exact, -place) > (old[0], -old[1])):
+                    best[d, item] = (exact, place, m + n - 1)
+                if exact >= 1 - 1e-12:  # no later window is better
                     break
 
 
@@ -215,7 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for lo, hi in slices(texts):
                     rows = b.leaks(texts.slice(lo, hi - lo))
                     if rows:
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + r[0] for r in rows])), pa.array([b.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([int(b.sizes[r[1]]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64())], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + r[0] for r in rows])), pa.array([b.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         return run
 

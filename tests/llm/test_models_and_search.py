@@ -175,8 +175,8 @@ def weighted_leaks(docs, items):
     for d, t in docs:
         w = lower((t or "").lower())
         for i, (size, n, s) in sets.items():
-            for k in range(len(w) - size + 1):
-                own = {tuple(w[j : j + n]) for j in range(k, k + size - n + 1)}
+            for k in range(max(1, len(w) - size + 1)):
+                own = {tuple(w[j : j + n]) for j in range(k, min(k + size, len(w)) - n + 1)}
                 both = weight(own & s)
                 value = both / (weight(own) + weight(s) - both)
                 if value >= 0.8 - 1e-12 and value > found.get((d, i), (0, 0))[0]:
@@ -198,6 +198,9 @@ def test_decontamination(spark):
             w[at:at] = own
         docs.append((d, " ".join(w).capitalize()))
     docs += [(200, None), (201, ""), (202, "A Short One here"), (203, items[0][1]), (203, items[0][1])]
+    docs += [(210 + i, items[i][1].rsplit(" ", 1)[0]) for i in range(20)]  # shorter than the item
+    docs += [(240, "x y " * 9000 + items[4][1] + " " + items[4][1]), (241, "z " * 50)]
+    items += [(60, "z z z z z z"), (61, "x y x y x y x y x z")]
     frame = spark.createDataFrame([(d, t, "en", "s", 0, *CLASH_VALUES) for d, t in docs], DOCS + CLASHING)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.find_leaks(frame, bench).collect()}
@@ -219,7 +222,28 @@ def test_decontamination_of_items_with_a_template():
     value = (common + 2 * rare) / (common + 8 * rare)
     assert 0.8 < value < 0.82
     got = decontaminate.Benchmark(list(range(300)), [f"{template} {' '.join(t)}" for t in tails]).leaks(pa.array(docs))
-    assert [r[:3] for r in got] == [(i, i, 0) for i in range(300)] and all(abs(r[3] - value) < 1e-9 for r in got)
+    assert [r[:3] for r in got] == [(i, i, 0) for i in range(300)] and all(abs(r[4] - value) < 1e-9 for r in got)
+
+
+def test_recall_by_similarity():
+    """Pairs just above 0.8, of equal and of very unequal weights: none is lost."""
+    rng = np.random.default_rng(20)
+    b = decontaminate.Benchmark([0], ["q"])
+    lost = pairs = 0
+    for spread in (0.0, 1.0, 2.5):
+        for _ in range(300):
+            h = rng.integers(0, 2**63, 60, dtype=np.uint64)
+            w = np.exp(spread * rng.normal(size=60))
+            b.known, b.weight = np.sort(h), w
+            k, only = 1, np.flatnonzero(rng.random(60) < 0.25)
+            while len(only) > k and (kept := w.sum() - w[only[k:]].sum()) / w.sum() < 0.8:
+                k += 1
+            kept = np.delete(np.arange(60), only[k:])
+            if 0.8 <= w[kept].sum() / w.sum() < 0.86:
+                x, y = (b._fingerprint(np.sort(h)[i]) for i in (np.arange(60), kept))
+                pairs += 1
+                lost += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
+    assert pairs > 200 and lost == 0
 
 
 def test_decontamination_in_shards(spark, monkeypatch):
@@ -237,12 +261,15 @@ def test_decontamination_in_shards(spark, monkeypatch):
     assert all(abs(x[4] - y[4]) < 1e-9 for x, y in zip(*rows, strict=True))
 
 
-def test_hamming_index():
+def test_hamming_index(monkeypatch):
     rng = np.random.default_rng(1)
-    stored = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    query = stored[:50] ^ (np.uint64(1) << rng.integers(0, 64, 50, dtype=np.uint64))
+    monkeypatch.setattr(decontaminate, "PAIRS", 3000)
+    stored = rng.integers(0, 2**63, (200, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 256)) < rng.uniform(0.1, 0.4, (300, 1)), axis=1).view(np.uint64)
+    query = stored[rng.integers(0, 200, 300)] ^ flips
     q, s = decontaminate.HammingIndex(stored).query(query)
-    near = np.bitwise_count(query[:, None] ^ stored[None, :]) <= decontaminate.RADIUS
+    near = np.bitwise_count(query[:, None] ^ stored[None, :]).sum(axis=2) <= decontaminate.RADIUS
+    assert 50 < near.sum() < 299
     assert set(zip(q.tolist(), s.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
 
 
