@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm._bpe import tokenizer_path
-from stillwater.llm._scratch import materialize, new_path
+from stillwater.llm._scratch import Scope, materialize, new_path
 from stillwater.llm.decontaminate import find_leaks
 from stillwater.llm.language_id import fold, identify_languages
 from stillwater.llm.ngram_join import ngram_components
@@ -18,7 +18,7 @@ from stillwater.llm.substring_dedup import deduplicate
 from stillwater.llm.token_counts import token_counts
 from stillwater.llm.token_files import read_tokens, write_tokens
 from stillwater.llm.vector_topk import vector_topk
-from stillwater.llm.warc_audit import audit, leaves, merkle_tree, warc_records
+from stillwater.llm.warc_audit import audit, in_order, leaves, merkle_tree, warc_records
 from stillwater.session import ship
 
 
@@ -46,13 +46,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = materialize(warc_records(table(spark, sf_dir, "pages")), "archive")
-    # the replica: one byte of every 97th record is damaged
-    damaged = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(bytearray(b"#")), F.expr("substring(record, octet_length(record) - 3, 4)"))
-    replica = archive.withColumn("record", F.when(F.col("page_id") % 97 == 3, damaged).otherwise(F.col("record")))
-    found = audit(merkle_tree(leaves(archive)), merkle_tree(leaves(replica))).select("idx", F.lit(False).alias("ok"))
-    rows = archive.join(found, F.col("pos") == F.col("idx"), "left")
-    return rows.select("page_id", "offset", "n_bytes", "digest", F.coalesce("ok", F.lit(True)).alias("intact"))
+    with Scope(spark) as tables:
+        # the replica: one byte of every 97th record is damaged; its records are hashed where they are, too
+        damaged = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(bytearray(b"#")), F.expr("substring(record, octet_length(record) - 3, 4)"))
+        records = warc_records(table(spark, sf_dir, "pages"))
+        replica = F.sha2(F.when(F.col("page_id") % 97 == 3, damaged).otherwise(F.col("record")), 256)
+        archive = materialize(in_order(records.withColumn("replica", replica).drop("record")), "archive")
+        found = audit(merkle_tree(leaves(archive, "digest")), merkle_tree(leaves(archive, "replica"))).select("idx", F.lit(False).alias("ok"))
+        rows = archive.join(found, F.col("pos") == F.col("idx"), "left")
+        return tables.keep(rows.select("page_id", "offset", "n_bytes", "digest", F.coalesce("ok", F.lit(True)).alias("intact")))
 
 
 OP5_SQL = """
@@ -109,4 +111,38 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op3_vector_topk": OP3_SQL, "op5_warc_audit": OP5_SQL}
+#: words of the documents, and their distinct 5-word shingles (of fewer words, all of them)
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(x) >= 5 THEN list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')))
+    WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM s JOIN c ON c.a = s.doc_id LEFT JOIN l ON l.a = s.doc_id
+"""
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+v AS (
+  SELECT doc_id, unnest(range(1, len(x) - 11)) AS i, unnest(list_transform(range(1, len(x) - 11), lambda i: array_to_string(x[i:i + 12], ' '))) AS t
+  FROM d WHERE len(x) >= 13),
+f AS (SELECT t, min(doc_id) AS first FROM v GROUP BY t),
+c AS (SELECT DISTINCT v.doc_id, unnest(range(v.i, v.i + 13)) AS i FROM v JOIN f ON v.t = f.t AND f.first < v.doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(x) AS n, coalesce(len(gone), 0) AS r,
+    array_to_string(CASE WHEN gone IS NULL THEN x ELSE list_transform(list_sort(list_filter(range(1, len(x) + 1), lambda i: NOT list_contains(gone, i))), lambda i: x[i]) END, ' ') AS kept
+  FROM d LEFT JOIN g ON g.doc_id = d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
+
+SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_vector_topk": OP3_SQL, "op5_warc_audit": OP5_SQL, "op8_substring_dedup": OP8_SQL}

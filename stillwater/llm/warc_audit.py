@@ -24,17 +24,26 @@ FAN = 16
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, record (bytes), digest, n_bytes, pos, offset: the archive of ``pages`` in page_id order."""
+    """page_id, record (bytes), digest, n_bytes of each page."""
     html = F.coalesce(html_col, F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url_col, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     record = F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), record.alias("record"))
-    return with_offsets(rows.withColumns({"digest": F.sha2("record", 256), "n_bytes": F.octet_length("record").cast("long")}), "page_id", "n_bytes", "digest")
+    return rows.withColumns({"digest": F.sha2("record", 256), "n_bytes": F.octet_length("record").cast("long")})
 
 
-def leaves(archive: DataFrame) -> DataFrame:
-    """idx, first (offset), last (offset after), hash of an archive's records, hashed anew from their bytes."""
-    return archive.select(F.col("pos").alias("idx"), F.col("offset").alias("first"), (F.col("offset") + F.octet_length("record")).alias("last"), F.sha2("record", 256).alias("hash"))
+def in_order(records: DataFrame) -> DataFrame:
+    """Records with pos and offset in the archive, which holds them in page_id order.  An audit needs no
+    bytes here: drop ``record`` first, and only digests are shuffled."""
+    return with_offsets(records, "page_id", "n_bytes", "digest")
+
+
+def leaves(archive: DataFrame, hash_col: str | None = None) -> DataFrame:
+    """idx, first (offset), last (offset after), hash of an archive's records: hashed anew from their bytes, or as
+    ``hash_col`` has it."""
+    hash_ = F.sha2("record", 256) if hash_col is None else F.col(hash_col)
+    size = F.octet_length("record") if hash_col is None else F.col("n_bytes")
+    return archive.select(F.col("pos").alias("idx"), F.col("offset").alias("first"), (F.col("offset") + size).alias("last"), hash_.alias("hash"))
 
 
 def merkle_tree(leaf_rows: DataFrame) -> list[DataFrame]:

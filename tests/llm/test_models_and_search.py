@@ -11,7 +11,7 @@ import pytest
 from helpers import CLASH_VALUES, CLASHING, DOCS, components, corpus, sentence, words
 
 import corpus_pipeline
-from stillwater.llm import decontaminate, language_id, quality, queries, source_mix, vector_topk, warc_audit
+from stillwater.llm import _ordered, decontaminate, language_id, quality, queries, source_mix, vector_topk, warc_audit
 
 SF = "/root/testdata/sf0.001"
 
@@ -276,7 +276,8 @@ def test_hamming_index(monkeypatch):
 def test_warc_audit(spark, monkeypatch):
     monkeypatch.setattr(warc_audit, "FAN", 3)
     pages = [(i, f"http://h/{i}", "<p>é" * (i % 7)) for i in range(100)] + [(None, None, None), (7, "again", "x"), (7, "again", "x")]
-    archive = warc_audit.warc_records(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, offset int")).collect()
+    records = warc_audit.warc_records(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, offset int"))
+    archive = warc_audit.in_order(records).collect()
     assert [r.pos for r in sorted(archive, key=lambda r: r.offset)] == list(range(len(pages)))
     body = b"".join(bytes(r.record) for r in sorted(archive, key=lambda r: r.pos))
     assert all(body[r.offset : r.offset + r.n_bytes] == bytes(r.record) for r in archive)
@@ -289,6 +290,21 @@ def test_warc_audit(spark, monkeypatch):
     assert warc_audit.audit(a, a).count() == 0
     short = warc_audit.merkle_tree(warc_audit.leaves(one.where("pos < 20")))
     assert {(r.idx, r.kind) for r in warc_audit.audit(a, short).collect()} == {(i, "missing") for i in range(20, len(pages))}
+    none = warc_audit.in_order(records.limit(0))
+    assert none.count() == 0 and len(warc_audit.merkle_tree(warc_audit.leaves(none))) == 1
+
+
+def test_order_of_odd_ids(spark):
+    """Sparse ids, null ones, and one id on most rows: dealt to several tasks, in order."""
+    rng = random.Random(21)
+    rows = [(rng.randrange(-(2**62), 2**62), rng.randrange(9), "a") for _ in range(500)] + [(None, 3, "n")] * 300 + [(5, 2, str(i % 50)) for i in range(1500)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "page_id long, n_bytes long, digest string")
+    got = sorted(_ordered.with_offsets(frame, "page_id", "n_bytes", "digest").collect(), key=lambda r: r.pos)
+    assert [r.pos for r in got] == list(range(len(rows)))
+    assert [(r.page_id, r.n_bytes, r.digest) for r in got] != rows
+    assert [(r.page_id, r.digest) for r in got] == [(r[0], r[2]) for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))]
+    assert [r.offset for r in got] == np.cumsum([0, *(r.n_bytes for r in got)])[:-1].tolist()
 
 
 def test_fit_budget():
@@ -414,7 +430,7 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name]).df()
     names = sorted(want.columns)
