@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stillwater.operators.epoch_chain import current_epoch
 from stillwater.plans.replay import Replay
+from stillwater.scratch import Scope
 from stillwater.sources.trace import events_trace
 
 
@@ -90,7 +91,11 @@ def ebr_hazards(r: Replay) -> DataFrame:
 
 
 def _query(f: Callable[[Replay], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(replay(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Scope(spark) as tables:
+            return tables.keep(f(replay(spark, sf_dir)))
+
+    return run
 
 
 _ALL = (ebr_trace, ebr_participants, ebr_pin_depth, ebr_pin_intervals, ebr_unbalanced_exits, ebr_flushes, ebr_attempts, ebr_epoch_timeline, ebr_current_epoch, ebr_retired_stamped, ebr_reclaimed, ebr_lag_histogram, ebr_bucket_occupancy, ebr_shutdown, ebr_deleter_summary, ebr_backlog, ebr_hazards)
