@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.llm._scratch import materialize
+from stillwater.llm._scratch import Scope, materialize
 from stillwater.session import ship
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -121,25 +121,26 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     at most ``most`` times its own; no document is taken more than ``most`` times.
     """
     ship(docs.sparkSession)
-    own = [c for c in docs.columns if c.lower() not in MIX]
-    rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
-    rows = rows.withColumn("part", F.pmod(F.col("h"), F.lit(SPLIT)))
-    counts = materialize(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    # one row per source
-    targets = materialize(totals.groupBy().applyInPandas(_targets(tuple(weights), share, most), "source string, source_size long, target double"), "targets")
-    known = by_size.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # one row per size of a source
-    plan = known.groupBy("source").applyInPandas(_plan, "source string, size long, source_size long, target double, base long, extra long")
-    plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "base", "extra")
-    before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = materialize(parts.select("s", "z", F.col("part").alias("p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("need")), "plan")
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-    order = Window.partitionBy("source", "size", "part").orderBy("h", "id", "t")
-    copies = F.col("base") + (F.row_number().over(order) <= F.col("need")).cast("long")
-    return rows.withColumn("copies", copies).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"))
+    with Scope(docs.sparkSession) as tables:
+        own = [c for c in docs.columns if c.lower() not in MIX]
+        rows = docs.select(F.struct(*own).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+        rows = rows.withColumn("part", F.pmod(F.col("h"), F.lit(SPLIT)))
+        counts = materialize(rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
+        totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+        # one row per source
+        targets = materialize(totals.groupBy().applyInPandas(_targets(tuple(weights), share, most), "source string, source_size long, target double"), "targets")
+        known = by_size.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        # one row per size of a source
+        plan = known.groupBy("source").applyInPandas(_plan, "source string, size long, source_size long, target double, base long, extra long")
+        plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "base", "extra")
+        before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = counts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        parts = materialize(parts.select("s", "z", F.col("part").alias("p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("need")), "plan")
+        rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
+        order = Window.partitionBy("source", "size", "part").orderBy("h", "id", "t")
+        copies = F.col("base") + (F.row_number().over(order) <= F.col("need")).cast("long")
+        return tables.keep(rows.withColumn("copies", copies).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken")))
 
 
 def expand(mixed: DataFrame) -> DataFrame:

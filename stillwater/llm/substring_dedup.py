@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm._automaton import SuffixAutomaton
 from stillwater.llm._heavy import Counter, contained, heavy_list
-from stillwater.llm._scratch import discard, materialize, width
+from stillwater.llm._scratch import Scope, discard, materialize, width
 from stillwater.llm._text import Words, column, gram_hashes, slices
 from stillwater.session import ship
 
@@ -43,6 +43,8 @@ SIZE, GRAM = 13, 5
 SHARD, RUN = 20_000, 64
 #: texts from which an anchor's windows are dealt one by one
 HOT = 256
+#: texts of several documents that are broadcast at most (32 bytes each)
+COPIES_BROADCAST = 1 << 19
 #: anchors in one packed group, about
 GROUP = 600_000
 
@@ -250,15 +252,18 @@ def _cover(words: list[bytes], pieces: list, size: int) -> list[bytes]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, digest: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed from the text (words then joined by one space; other texts are
     unchanged).  With ``digest``: doc_id, n_words, n_removed, kept_sha256 instead."""
-    cuts = repeated_windows(docs, id_col, text_col, size).groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))  # of one document
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(F.lit(1), F.col(text_col)).alias("key2"), F.col(text_col).isNotNull().alias("has")).where("doc_id is not null and has")
-    first = texts.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = texts.join(first, ["key", "key2"]).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("again")).distinct()
-    cuts = cuts.join(again, ["doc_id", "key"], "full_outer")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) if digest else docs
-    name = "text" if digest else text_col
-    rows = own.select(F.struct(*own.columns).alias("row"), F.col("doc_id" if digest else id_col).cast("long").alias("doc_id"), F.xxhash64(name).alias("key"))
-    rows = rows.join(cuts, ["doc_id", "key"], "left").select("row.*", F.col("starts").alias("starts_"), F.coalesce("again", F.lit(False)).alias("again_"))
+    with Scope(docs.sparkSession) as tables:
+        starts = repeated_windows(docs, id_col, text_col, size)
+        cuts = starts.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))  # of one document
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(F.lit(1), F.col(text_col)).alias("key2"), F.col(text_col).isNotNull().alias("has")).where("doc_id is not null and has")
+        first = materialize(texts.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "copies")
+        few = F.broadcast(first) if first.count() <= COPIES_BROADCAST else first  # else a hot text is a key that Spark's skew join splits
+        again = texts.join(few, ["key", "key2"]).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("again")).distinct()
+        cuts = cuts.join(again, ["doc_id", "key"], "full_outer")
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) if digest else docs
+        name = "text" if digest else text_col
+        rows = own.select(F.struct(*own.columns).alias("row"), F.col("doc_id" if digest else id_col).cast("long").alias("doc_id"), F.xxhash64(name).alias("key"))
+        rows = tables.keep(rows.join(cuts, ["doc_id", "key"], "left").select("row.*", F.col("starts").alias("starts_"), F.coalesce("again", F.lit(False)).alias("again_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
