@@ -3,7 +3,7 @@
 A window over a whole key puts the key into one task.  These put (key, block) into one task, and
 carry from block to block only a row each: a hot key costs as many tasks as it has blocks.
 A block is a range of the order column that holds about ``ROWS`` rows on average, however sparse
-its values are.
+its values are.  Where all rows make one block (``width`` is None) nothing is carried.
 """
 
 from __future__ import annotations
@@ -19,40 +19,44 @@ from pyspark.sql.types import StructField, StructType
 from stillwater.scratch import materialize
 
 #: rows of a block, on average
-ROWS = 1 << 16
+ROWS = 1 << 17
 #: rows of the right side of an as-of join that are broadcast at most (some 20 to 50 bytes each)
 LOOKUP = 1 << 19
 
 
-def span(df: DataFrame, order: str) -> int:
-    """Values of the order column per block."""
+def span(df: DataFrame, order: str) -> int | None:
+    """Values of the order column per block; None where one block holds all rows."""
     low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    return ROWS if low is None else max(1, -(-(high - low + 1) * ROWS // max(n, ROWS)))
+    return None if n <= ROWS else max(1, -(-(high - low + 1) * ROWS // n))
 
 
-def block_of(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / width)
+def block_of(order: str, width: int | None) -> Column:
+    return F.lit(0).cast("long") if width is None else F.floor(F.col(order) / width)
 
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: Column, name: str, width: int) -> DataFrame:
-    """``df`` with the running sum of ``value`` along ``order`` within ``by``.  Reads ``df`` twice."""
+def running_sum(df: DataFrame, by: list[str], order: str, value: Column, name: str, width: int | None) -> DataFrame:
+    """``df`` with the running sum of ``value`` along ``order`` within ``by``.  Reads ``df`` twice, or once as one block."""
     rows = df.withColumns({"_blk": block_of(order, width), "_v": value.cast("long")})
-    inside = Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.sum("_v").over(Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if width is None:
+        return rows.withColumn(name, inside).drop("_blk", "_v")
     before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*by, "_blk").agg(F.sum("_v").alias("_s")).withColumn("_s", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    return rows.join(sums, [*by, "_blk"]).withColumn(name, (F.sum("_v").over(inside) + F.col("_s")).cast("long")).drop("_blk", "_v", "_s")
+    return rows.join(sums, [*by, "_blk"]).withColumn(name, (inside + F.col("_s")).cast("long")).drop("_blk", "_v", "_s")
 
 
-def running_max_before(df: DataFrame, by: list[str], order: str, value: str, name: str, width: int) -> DataFrame:
-    """``df`` with the largest ``value`` of the rows before, along ``order`` within ``by``.  Reads ``df`` twice."""
+def running_max_before(df: DataFrame, by: list[str], order: str, value: str, name: str, width: int | None) -> DataFrame:
+    """``df`` with the largest ``value`` of the rows before, along ``order`` within ``by``.  Reads ``df`` as ``running_sum`` does."""
     rows = df.withColumn("_blk", block_of(order, width))
-    inside = Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.max(value).over(Window.partitionBy(*by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    if width is None:
+        return rows.withColumn(name, inside).drop("_blk")
     before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*by, "_blk").agg(F.max(value).alias("_m")).withColumn("_m", F.max("_m").over(before))
-    return rows.join(blocks, [*by, "_blk"]).withColumn(name, F.greatest(F.max(value).over(inside), F.col("_m"))).drop("_blk", "_m")
+    return rows.join(blocks, [*by, "_blk"]).withColumn(name, F.greatest(inside, F.col("_m"))).drop("_blk", "_m")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], order: str, right_order: str, value: str, name: str, width: int, forward: bool = False, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], order: str, right_order: str, value: str, name: str, width: int | None, forward: bool = False, strict: bool = False) -> DataFrame:
     """``left`` with ``value`` of the nearest row of ``right`` (same ``by``) at or before ``order``, or with
     ``forward`` at or after it; ``strict``: not at it.  Null where there is none.
 

@@ -20,7 +20,7 @@ from stillwater.operators.blocks import asof, running_max_before, running_sum
 _NEVER = (1 << 63) - 1
 
 
-def oldest_pins(pins: DataFrame, width: int) -> DataFrame:
+def oldest_pins(pins: DataFrame, width: int | None) -> DataFrame:
     """manager_id, participant, open_seq, from_seq, until_seq: the ranges in which each pin is the oldest open one."""
     rows = pins.withColumn("until_seq", F.coalesce("close_seq", F.lit(_NEVER)))
     rows = running_max_before(rows, ["manager_id"], "open_seq", "until_seq", "_held", width)
@@ -43,7 +43,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["manager_id", "seq"])
 
 
-def held(tries: DataFrame, pins: DataFrame, width: int) -> DataFrame:
+def held(tries: DataFrame, pins: DataFrame, width: int | None) -> DataFrame:
     """``tries`` with the oldest open pin (pin_open, pin_holder; null: none is open)."""
     ranges = oldest_pins(pins, width).withColumn("pin", F.struct("open_seq", "until_seq", F.col("participant").alias("holder")))
     rows = asof(tries, ranges, ["manager_id"], "seq", "from_seq", "pin", "pin", width)
@@ -51,7 +51,7 @@ def held(tries: DataFrame, pins: DataFrame, width: int) -> DataFrame:
     return rows.withColumns({"pin_open": F.when(open_, F.col("pin.open_seq")), "pin_holder": F.when(open_, F.col("pin.holder"))}).drop("pin")
 
 
-def with_epochs(rows: DataFrame, width: int, rules: Rules = RULES) -> DataFrame:
+def with_epochs(rows: DataFrame, width: int | None, rules: Rules = RULES) -> DataFrame:
     """Attempts of ``held`` with advanced, epoch_after, and the epoch and bucket they free (null: none yet)."""
     firsts = rows.where("pin_open is not null").groupBy("manager_id", "pin_open").agg(F.min("seq").alias("seq")).select("manager_id", "seq", "pin_open")
     ahead = firsts.repartition("manager_id").sortWithinPartitions("manager_id", "seq").mapInArrow(_fold, "manager_id long, seq long")
@@ -67,7 +67,7 @@ def epoch_timeline(epochs: DataFrame) -> DataFrame:
     return epochs.where("advanced").select("manager_id", F.col("epoch_after").alias("epoch"), F.col("seq").alias("from_seq"))
 
 
-def current_epoch(at: DataFrame, timeline: DataFrame, order: str, name: str, width: int, strict: bool = False) -> DataFrame:
+def current_epoch(at: DataFrame, timeline: DataFrame, order: str, name: str, width: int | None, strict: bool = False) -> DataFrame:
     """``at`` with the epoch at (``strict``: just before) each value of ``order``."""
     rows = asof(at, timeline, ["manager_id"], order, "from_seq", "epoch", name, width, strict=strict)
     return rows.withColumn(name, F.coalesce(F.col(name), F.lit(FIRST_EPOCH)).cast("long"))

@@ -88,17 +88,24 @@ def _flushes(rules: Rules):
     return run
 
 
-def flushes(deep: DataFrame, width: int, rules: Rules = RULES) -> DataFrame:
-    """manager_id, participant, seq, reason (retire, exit, collect, thread_exit), n_nodes of non-empty hand-overs."""
-    kind = F.when(F.col("op") == "retire", _RETIRE).when((F.col("op") == "exit") & (F.col("depth") == 0), _EXIT).when(F.col("op").isin("collect", "thread_exit"), _DRAIN)
-    acts = deep.select(*KEY, "seq", "op", kind.cast("int").alias("kind"), block_of("seq", width).alias("_blk")).where("kind is not null")
+def _with_starts(acts: DataFrame, rules: Rules) -> DataFrame:
+    """``acts`` with the length of its participant's list at the start of its block."""
     ends = acts.groupBy(*KEY).agg(F.min("_blk").alias("_a"), F.max("_blk").alias("_b")).where("_a < _b")
     maps = acts.join(ends, KEY, "left_semi").groupBy(*KEY, "_blk").applyInArrow(_maps(rules), "manager_id long, participant string, _blk long, out array<long>")
     # a row per block of a participant: the length at the start of each block follows from the maps before it
     blocks = maps.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_blk", "out"))).alias("b"))
-    fold = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<struct<_blk: bigint, start: bigint>>)").alias("all")), lambda x, b: F.struct(F.get(b["out"], x["size"].cast("int")).alias("size"), F.concat(x["all"], F.array(F.struct(b["_blk"].alias("_blk"), x["size"].alias("start")))).alias("all")))
+    none = F.expr("cast(array() as array<struct<_blk: bigint, start: bigint>>)")
+    begin = lambda x, b: F.concat(x["all"], F.array(F.struct(b["_blk"].alias("_blk"), x["size"].alias("start"))))
+    fold = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("size"), none.alias("all")), lambda x, b: F.struct(F.get(b["out"], x["size"].cast("int")).alias("size"), begin(x, b).alias("all")))
     starts = blocks.select(*KEY, F.inline(fold["all"]))
-    rows = acts.join(starts, [*KEY, "_blk"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
+    return acts.join(starts, [*KEY, "_blk"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
+
+
+def flushes(deep: DataFrame, width: int | None, rules: Rules = RULES) -> DataFrame:
+    """manager_id, participant, seq, reason (retire, exit, collect, thread_exit), n_nodes of non-empty hand-overs."""
+    kind = F.when(F.col("op") == "retire", _RETIRE).when((F.col("op") == "exit") & (F.col("depth") == 0), _EXIT).when(F.col("op").isin("collect", "thread_exit"), _DRAIN)
+    acts = deep.select(*KEY, "seq", "op", kind.cast("int").alias("kind"), block_of("seq", width).alias("_blk")).where("kind is not null")
+    rows = acts.withColumn("start", F.lit(0).cast("long")) if width is None else _with_starts(acts, rules)
     return rows.groupBy(*KEY, "_blk").applyInArrow(_flushes(rules), "manager_id long, participant string, seq long, reason string, n_nodes long")
 
 

@@ -17,12 +17,13 @@ THREAD = ["manager_id", "thread_id"]
 _RESET = 1 << 32
 
 
-def with_depth(trace: DataFrame, width: int) -> DataFrame:
+def with_depth(trace: DataFrame, width: int | None) -> DataFrame:
     """Effective operations with generation (earlier ends of the thread), participant ("thread:generation"),
     and the nesting depth before and after each (an exit at depth 0 leaves it there).
 
     Depth is S - least(0, smallest S so far), S the running sum of +1, -1, and of a fall below all
-    at a thread's end; all of it is carried from block to block of a thread.  Reads ``trace`` twice.
+    at a thread's end; all of it is carried from block to block of a thread.  Reads ``trace`` twice, or once as
+    one block.
     """
     kept = is_effective(F.col("op"), F.col("ptr"), F.col("deleter")) & F.col("manager_id").isNotNull() & F.col("thread_id").isNotNull() & F.col("seq").isNotNull()
     ends = F.col("op") == "thread_exit"
@@ -39,7 +40,10 @@ def with_depth(trace: DataFrame, width: int) -> DataFrame:
     blocks = blocks.withColumns({"_l0": F.coalesce(F.min(F.col("_s0") + F.col("_l")).over(before), F.lit(0)), "_opens": ((F.col("_first") == "thread_exit") & F.coalesce(F.col("_last0") != "thread_exit", F.lit(False))).cast("long")})
     blocks = blocks.withColumn("_g0", F.coalesce(F.sum(F.coalesce("_ends", F.lit(0)) + F.col("_opens")).over(before), F.lit(0)))
     rows = rows.withColumns({"_low": F.min("_s").over(earlier), "_g": F.coalesce(F.sum("_end").over(earlier), F.lit(0))})
-    rows = rows.join(blocks.select(*THREAD, "_blk", "_s0", "_l0", "_g0", "_opens", "_last0"), [*THREAD, "_blk"])
+    if width is None:
+        rows = rows.withColumns({c: F.lit(0).cast("long") for c in ("_s0", "_l0", "_g0", "_opens")} | {"_last0": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(blocks.select(*THREAD, "_blk", "_s0", "_l0", "_g0", "_opens", "_last0"), [*THREAD, "_blk"])
     rows = rows.where(~ends | F.coalesce(F.coalesce("_prev", "_last0") != "thread_exit", F.lit(False)))
     generation = F.col("_g0") + F.col("_g") + F.when(F.col("_prev").isNotNull(), F.col("_opens")).otherwise(0)
     was = F.col("_s0") + F.col("_s") - F.col("_d") - F.least(F.lit(0), F.col("_l0"), F.col("_s0") + F.col("_low"))

@@ -11,7 +11,7 @@ from stillwater.operators.blocks import asof
 KEY = ["manager_id", "participant"]
 
 
-def pin_intervals(deep: DataFrame, width: int) -> DataFrame:
+def pin_intervals(deep: DataFrame, width: int | None) -> DataFrame:
     """manager_id, participant, open_seq, close_seq (null: still pinned at the end): outermost pins.
 
     Nested entries keep the pin; a thread end closes it at its own seq.

@@ -10,13 +10,13 @@ from stillwater.operators.blocks import asof, running_sum
 from stillwater.operators.epoch_chain import current_epoch
 
 
-def stamped(nodes: DataFrame, timeline: DataFrame, width: int, rules: Rules = RULES) -> DataFrame:
+def stamped(nodes: DataFrame, timeline: DataFrame, width: int | None, rules: Rules = RULES) -> DataFrame:
     """Retired objects with retire_epoch (advances of their own operation come after) and bucket."""
     rows = current_epoch(nodes, timeline, "seq", "retire_epoch", width, strict=True)
     return rows.withColumn("bucket", bucket_index(F.col("retire_epoch"), rules))
 
 
-def fates(marked: DataFrame, epochs: DataFrame, timeline: DataFrame, width: int) -> DataFrame:
+def fates(marked: DataFrame, epochs: DataFrame, timeline: DataFrame, width: int | None) -> DataFrame:
     """Every retired object with reclaim_seq, reclaim_epoch and lag (null: not freed by an attempt) and its
     fate: reclaimed, shutdown (freed when the manager ends) or leaked_local (never handed over).
 
@@ -33,7 +33,7 @@ def fates(marked: DataFrame, epochs: DataFrame, timeline: DataFrame, width: int)
     return rows.select("manager_id", "participant", "seq", "ptr", "deleter", "flush_seq", "retire_epoch", "bucket", F.col("look.s").alias("reclaim_seq"), F.col("look.e").alias("reclaim_epoch"), (F.col("look.e") - F.col("retire_epoch")).alias("lag"), fate.alias("fate"))
 
 
-def backlog(nodes: DataFrame, epochs: DataFrame, width: int) -> DataFrame:
+def backlog(nodes: DataFrame, epochs: DataFrame, width: int | None) -> DataFrame:
     """Objects retired and not yet freed after each attempt."""
     moves = nodes.select("manager_id", F.col("seq"), F.lit(1).alias("n")).unionByName(nodes.where("reclaim_seq is not null").select("manager_id", F.col("reclaim_seq").alias("seq"), F.lit(-1).alias("n")))
     moves = moves.unionByName(epochs.select("manager_id", "seq", F.lit(0).alias("n"))).groupBy("manager_id", "seq").agg(F.sum("n").alias("n"))

@@ -28,8 +28,8 @@ class Replay:
         self._keep = storage
 
     @cached_property
-    def width(self) -> int:
-        """Values of seq per block."""
+    def width(self) -> int | None:
+        """Values of seq per block (None: all is one block)."""
         return blocks.span(self.trace, "seq")
 
     @cached_property

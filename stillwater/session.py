@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,6 +17,7 @@ def ship(spark: SparkSession) -> SparkSession:
     if not getattr(context, "_stillwater_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="stillwater-ship-")) / "stillwater.zip"
+        atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, str(Path(root.name) / p.relative_to(root)))

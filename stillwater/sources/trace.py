@@ -5,7 +5,7 @@ A trace is totally ordered by ``seq`` within ``manager_id``; each operation is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -36,10 +36,21 @@ def write_trace(ops: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     ops.select(*TRACE.names).write.format(fmt).mode(mode).partitionBy("manager_id").save(path)
 
 
+def _refusal() -> Column:
+    """Why a row is no operation; null where it is one."""
+    missing = F.col("seq").isNull() | F.col("thread_id").isNull() | F.col("manager_id").isNull()
+    known = F.coalesce(F.col("op").isin(*OPS), F.lit(False))
+    return F.when(missing, "no manager, seq or thread").when(~known, "unknown operation").when(F.col("deleter") == "void", "typed delete of void")
+
+
 def validate(ops: DataFrame) -> DataFrame:
-    """Rows that are operations: known op, with seq and thread; a typed delete of nothing (``void``) is refused."""
-    typed = F.coalesce(F.col("deleter") != "void", F.lit(True))
-    return ops.where(F.col("op").isin(*OPS) & F.col("seq").isNotNull() & F.col("thread_id").isNotNull() & typed)
+    """Rows that are operations: known op, with manager, seq and thread; a typed delete of nothing (``void``) is refused."""
+    return ops.where(_refusal().isNull())
+
+
+def refused(ops: DataFrame) -> DataFrame:
+    """The other rows, with the reason."""
+    return ops.withColumn("reason", _refusal()).where("reason is not null")
 
 
 def events_trace(events: DataFrame, threads: int = 16) -> DataFrame:

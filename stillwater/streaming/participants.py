@@ -2,7 +2,7 @@
 
 Rows of a micro-batch are sorted by seq inside each thread.  A row at or below the last seq seen
 of its thread would change the order of what is already told, so it is told as ``late`` and left
-out.  There is no event time; the batch replay stays the source of truth for epochs.
+out.  There is no event time; ``streaming.managers`` tells of epochs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stillwater.functions.epochs import is_effective
 from stillwater.operators.flushes import step
+from stillwater.session import ship
 
 EVENTS = "manager_id long, participant string, seq long, event string, open_seq long, n_nodes long"
 _STATE = "last_seq long, generation long, depth long, open_seq long, size long, live boolean"
@@ -65,5 +66,6 @@ def _advance(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.
 
 def participant_events(ops: DataFrame) -> DataFrame:
     """A stream of pin, unpin, unbalanced, flush and late events from a stream of trace rows."""
+    ship(ops.sparkSession)
     rows = ops.where(is_effective(F.col("op"), F.col("ptr"), F.col("deleter"))).select("manager_id", "thread_id", "seq", "op")
     return rows.groupBy("manager_id", "thread_id").applyInPandasWithState(_advance, EVENTS, _STATE, "append", "NoTimeout")

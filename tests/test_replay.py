@@ -9,7 +9,7 @@ from stillwater.functions.epochs import EPOCH_BUCKETS, LOCAL_BATCH, Rules
 from stillwater.operators import blocks
 from stillwater.plans.replay import Replay
 from stillwater.scratch import materialize
-from stillwater.sources.trace import TRACE, read_trace, validate, write_trace
+from stillwater.sources.trace import TRACE, read_trace, refused, validate, write_trace
 
 
 def random_trace(seed: int, n: int, weights: list[int]) -> list[tuple]:
@@ -151,5 +151,6 @@ def test_trace_round_trip(spark, tmp_path):
 def test_validate_and_empty(spark):
     rows = [(0, 1, 0, "retire", 5, "void"), (0, 2, 0, "jump", None, None), (0, None, 0, "exit", None, None), (0, 4, None, "exit", None, None), (0, 5, 0, "exit", None, None)]
     assert [r.seq for r in validate(spark.createDataFrame(rows, TRACE)).collect()] == [5]
+    assert [r.reason for r in refused(spark.createDataFrame(rows, TRACE)).collect()] == ["typed delete of void", "unknown operation", *["no manager, seq or thread"] * 2]
     empty = Replay(spark.createDataFrame([], TRACE))
     assert empty.fates.count() == empty.attempts.count() == empty.pins.count() == 0
