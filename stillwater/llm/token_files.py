@@ -137,7 +137,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     dict_hash, dictionary, dtype = train_dictionary(docs, tokenizer, text_col, id_col)
     spark.createDataFrame([(dict_hash, bytearray(dictionary), dtype, end_id)], "dict_hash string, dictionary binary, dtype string, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    # rows of one doc_id, and rows alike, may go to several tasks
+    rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     rows.mapInArrow(_writer(tokenizer, dict_hash, dictionary, dtype, end_id, level, block_bytes), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     parts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     # one row per range partition
