@@ -9,7 +9,7 @@ text is one window):
    root of a shingle's weight times a normal number that its hash gives.  Sets of similarity J have vectors
    of cosine 2 J / (1 + J) or more whatever their weights, and with normal numbers each bit differs with
    probability angle / pi exactly: at J = 0.8 38.8 of 256 bits are expected to, with a deviation of 5.7.
-   ``RADIUS`` lies over five deviations above; a pair just at 0.8 is lost once in some millions.
+   ``RADIUS`` lies over five deviations above; a pair just at 0.8 is lost about once in a million.
 3. An index of the items of each size gives all fingerprints within the radius: of four blocks of 64 bits,
    one at least is within a fourth of it.  (Blocks that must be equal would have four bits or fewer at
    this radius, and nearly every pair agrees in one of those.)

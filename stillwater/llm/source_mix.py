@@ -114,6 +114,11 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(base=base, extra=extra)[["source", "size", "source_size", "target", "base", "extra"]].astype({"source": object})
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With src and none, the source as keys without nulls."""
+    return rows.withColumns({"src": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken.
 
@@ -133,12 +138,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         known = by_size.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         # one row per size of a source
         plan = known.groupBy("source").applyInPandas(_plan, "source string, size long, source_size long, target double, base long, extra long")
-        plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "base", "extra")
-        before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = counts.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        parts = materialize(parts.select("s", "z", F.col("part").alias("p"), "source_size", "target", "base", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("need")), "plan")
-        rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
-        order = Window.partitionBy("source", "size", "part").orderBy("h", "id", "t")
+        plan = _keyed(plan.select("source", "size", "source_size", "target", "base", "extra")).drop("source")
+        before = Window.partitionBy("src", "none", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = _keyed(counts).drop("source").join(plan, ["src", "none", "size"]).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        need = F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n"))
+        parts = materialize(parts.select("src", "none", "size", "part", "source_size", "target", "base", need.alias("need")), "plan")
+        # rows are dealt once, for the join and the window; a row per size of a source and part isn't broadcast
+        rows = _keyed(rows).join(parts.hint("merge"), ["src", "none", "size", "part"])
+        order = Window.partitionBy("src", "none", "size", "part").orderBy("h", "id", "t")
         copies = F.col("base") + (F.row_number().over(order) <= F.col("need")).cast("long")
         return tables.keep(rows.withColumn("copies", copies).select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken")))
 

@@ -5,8 +5,8 @@ block of dimensions; after each block the Cauchy-Schwarz bound of the mass that
 which pairs can still reach a query's k-th best score, and only those go on, compacted.
 Components are scaled to integers, so scores are exact.
 
-Queries come in blocks of a fixed number of components, each broadcast in turn; a task returns
-its k best per query, and these are merged.  Each block scans the candidates once.
+Queries come in blocks of a fixed number of components, each broadcast in turn and compared in
+chunks; a task returns its k best per query, and these are merged.  Each block scans the candidates once.
 
 Defined results: a vector that is null, without id, or with null or non-finite components takes
 no part, neither as query nor as candidate; vectors are compared with those of their own length
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwater.llm._scratch import Scope, materialize
 from stillwater.session import ship
 
-#: components of queries broadcast at once (8 bytes each)
-QUERY_CELLS = 1 << 19
+#: components of queries broadcast at once (8 bytes each), and compared at once
+QUERY_CELLS, CHUNK_CELLS = 1 << 22, 1 << 18
 #: dimensions per block, and candidates in a vertical tile
 DIMS, TILE = 8, 2048
 _FLOAT_EXACT = float(1 << 52)
@@ -123,12 +124,15 @@ class _Best:
 
 def _search(block, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: _Best(ids, rows, k) for n, (ids, rows) in block.value.items()}
+        best = {}
+        for n, (ids, rows) in block.value.items():
+            m = max(1, CHUNK_CELLS // max(n, 1))
+            best[n] = [_Best(ids[i : i + m], rows[i : i + m], k) for i in range(0, len(ids), m)]
         for batch in batches:
             for n, (ids, rows) in _vectors(batch.column(0), batch.column(1), scale).items():
-                if n in best:
-                    best[n].add(ids, rows)
-        for b in best.values():
+                for b in best.get(n, ()):
+                    b.add(ids, rows)
+        for b in (b for chunks in best.values() for b in chunks):
             q, ids, score = b.got
             yield pa.RecordBatch.from_arrays([pa.array(b.ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
@@ -143,12 +147,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     wanted, rows = pick(queries), pick(vectors)
     n, longest = wanted.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * max(longest or 1, 1) // QUERY_CELLS))
-    found = None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        part = {m: _distinct(ids, v) for m, (ids, v) in _vectors(part["vec_id"].combine_chunks(), part["v"].combine_chunks(), scale).items()} if part.num_rows else {}
-        own = rows.mapInArrow(_search(spark.sparkContext.broadcast(part), k, scale), "query_id long, vec_id long, score long")
-        found = own if found is None else found.union(own)
+    with Scope(spark):
+        by_block = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        by_block = materialize(by_block.repartition("block"), "queries", by="block") if blocks > 1 else by_block
+        found = None
+        for b in range(blocks):
+            part = by_block.where(F.col("block") == b).select("vec_id", "v").toArrow()
+            part = {m: _distinct(ids, v) for m, (ids, v) in _vectors(part["vec_id"].combine_chunks(), part["v"].combine_chunks(), scale).items()} if part.num_rows else {}
+            own = rows.mapInArrow(_search(spark.sparkContext.broadcast(part), k, scale), "query_id long, vec_id long, score long")
+            found = own if found is None else found.union(own)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

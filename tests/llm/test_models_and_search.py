@@ -34,8 +34,9 @@ def test_topk(spark, monkeypatch):
     frame = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(5)
     low, high = -(1 << 63), (1 << 63) - 1
     want = {q: [(r, i, min(high, max(low, s))) for r, i, s in v] for q, v in brute_topk(rows, lambda i: i % 5 == 0, 5, 256).items()}
-    for cells in (1 << 19, 100):
+    for cells, chunk in ((1 << 22, 1 << 18), (1 << 22, 60), (100, 1 << 18)):
         monkeypatch.setattr(vector_topk, "QUERY_CELLS", cells)
+        monkeypatch.setattr(vector_topk, "CHUNK_CELLS", chunk)
         got: dict = {}
         for r in vector_topk.vector_topk(frame, frame.where("vec_id % 5 = 0")).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
