@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import unicodedata
 
-from stillwater.llm._text import _TABLE, _pow, column, mix, slices
+from stillwater.llm._text import SMALL_SLICE, _TABLE, _pow, column, mix, slices
 
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
 #: code points whose classes no Unicode version changes
@@ -63,13 +64,14 @@ class Encoder:
         self.slot: dict[int, int] = {}
         self.ids, self.off = array("I"), array("q", [0])
 
+    def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and numbers of ids of a column, slice by slice."""
+        for lo, hi in slices(texts, SMALL_SLICE):
+            yield self._slice(texts.slice(lo, hi - lo))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
-        for lo, hi in slices(texts, 2 << 20):
-            i, n = self._slice(texts.slice(lo, hi - lo))
-            ids.append(i)
-            counts.append(n)
-        return np.concatenate(ids), np.concatenate(counts)
+        own = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)), *self.parts(texts)]
+        return np.concatenate([i for i, _ in own]), np.concatenate([n for _, n in own])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -196,5 +198,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encode_column(batch: pa.RecordBatch, text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    return encoder(path).encode(column(batch, text))
+def encode_column(batch: pa.RecordBatch, text: str, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and numbers of ids of a batch's texts, slice by slice in their order."""
+    return encoder(path).parts(column(batch, text))

@@ -44,7 +44,11 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+#: bytes of texts that kernels look at together: tables of powers for so many have two million entries, or one
+SLICE, SMALL_SLICE = (1 << 21) - 2, (1 << 20) - 2
+
+
+def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes (a longer text stands alone): bounds the temporaries."""
     if not len(texts):
         return

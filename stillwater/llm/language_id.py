@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm._scratch import discard, materialize
-from stillwater.llm._text import _LOWER, column, slices
+from stillwater.llm._text import SMALL_SLICE, _LOWER, column, slices
 from stillwater.session import ship
 
 PER_LANG = 800
@@ -148,7 +148,7 @@ def _predict(model):
             n = len(texts)
             best, score = np.zeros(n, dtype=np.int64), np.zeros(n)
             letters = np.zeros(n, dtype=bool)
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, SMALL_SLICE):
                 rows, at = subwords(texts.slice(lo, hi - lo))
                 some = np.diff(at) > 0
                 for d in np.flatnonzero(some):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stillwater.llm._text import _LOWER, _TABLE, Words, _pow, column, mix, slices
+from stillwater.llm._text import SMALL_SLICE, Words, _LOWER, _TABLE, _pow, column, mix, slices
 from stillwater.session import ship
 
 #: rated documents to train on: expected number, and the most
@@ -130,7 +130,7 @@ def _gradient(z: np.ndarray, y: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray
 def tails(model: dict, texts: pa.Array) -> np.ndarray:
     """P(grade >= 1), ... of each text."""
     out = np.zeros(len(texts))
-    for lo, hi in slices(texts, 1 << 20):
+    for lo, hi in slices(texts, SMALL_SLICE):
         rows, at = features(texts.slice(lo, hi - lo))
         n = np.diff(at)
         full = np.flatnonzero(n)

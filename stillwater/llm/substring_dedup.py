@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stillwater.llm._automaton import SuffixAutomaton
 from stillwater.llm._heavy import Counter, contained, heavy_list
 from stillwater.llm._scratch import Scope, discard, materialize, width
-from stillwater.llm._text import Words, column, gram_hashes, slices
+from stillwater.llm._text import SMALL_SLICE, Words, column, gram_hashes, slices
 from stillwater.session import ship
 
 SIZE, GRAM = 13, 5
@@ -146,7 +146,7 @@ def _segments(size: int):
         for batch in batches:
             texts = column(batch, "text")
             lists = [[np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, dtype=np.uint64) for b in row)]) for row in batch.column(c).to_pylist()] for c in (3, 4)]
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, SMALL_SLICE):
                 w = Words(texts.slice(lo, hi - lo))
                 at, anchor = _anchors(w, size)
                 doc = w.doc[at]

@@ -28,7 +28,7 @@ SPAN = 1024
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, n = encode_column(batch, "text", path)
+            n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in encode_column(batch, "text", path))])
             lengths, docs = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64()), pa.array(docs, pa.int64())], names=["n_tokens", "n_docs"])
 

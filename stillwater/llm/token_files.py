@@ -49,9 +49,9 @@ def _train(path: str, size: int):
 
         dtype, samples = encoder(path).dtype, []
         for batch in batches:
-            ids, counts = encode_column(batch, "text", path)
-            for doc in np.split(ids.astype(dtype), np.cumsum(counts)[:-1]):
-                samples += [doc.tobytes()[i : i + DICT_SAMPLE_BYTES] for i in range(0, min(doc.nbytes, 8 * DICT_SAMPLE_BYTES), DICT_SAMPLE_BYTES)]
+            for ids, counts in encode_column(batch, "text", path):
+                for doc in np.split(ids.astype(dtype), np.cumsum(counts)[:-1]):
+                    samples += [doc.tobytes()[i : i + DICT_SAMPLE_BYTES] for i in range(0, min(doc.nbytes, 8 * DICT_SAMPLE_BYTES), DICT_SAMPLE_BYTES)]
         samples.sort(key=lambda s: hashlib.sha256(s).digest())
         try:
             got = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
@@ -110,11 +110,9 @@ def _writer(path: str, dict_hash: str, dictionary: bytes, dtype: str, end_id: in
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            tokens, n = encode_column(batch, "text", path)
-            tokens = tokens.astype(kind)
-            at = np.concatenate([[0], np.cumsum(n)])
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                own = np.concatenate([tokens[at[i] : at[i + 1]], end])
+            documents = (ids for tokens, n in encode_column(batch, "text", path) for ids in np.split(tokens.astype(kind), np.cumsum(n)[:-1]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), documents, strict=True):
+                own = np.concatenate([ids, end])
                 ids_.append(0 if doc_id is None else doc_id)
                 valid.append(doc_id is not None)
                 frames.append(zip_.compress(own.tobytes()))
