@@ -61,7 +61,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        # hashes of the pre-tokens kept, sorted, and where the ids of each are
+        self.known, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.ids, self.off = array("I"), array("q", [0])
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,22 +157,26 @@ class Encoder:
         np.cumsum(_TABLE[raw] * up[: len(raw)], out=p[1:])
         h = mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         codes, uniq = pd.factorize(h)
-        if len(self.slot) + len(uniq) > self.LIMIT:
+        if len(self.known) + len(uniq) > self.LIMIT:
             self._clear()
-        get = self.slot.get
-        slots = [get(x, -1) for x in uniq.tolist()]
-        slots = np.array(slots, dtype=np.int64)
-        missing = np.flatnonzero(slots < 0)
+        near = np.searchsorted(self.known, uniq)
+        at = np.minimum(near, max(0, len(self.known) - 1))
+        held = self.known[at] == uniq if len(self.known) else np.zeros(len(uniq), dtype=bool)
+        slots = np.full(len(uniq), -1, dtype=np.int64)
+        slots[held] = self.place[at[held]]
+        missing = np.flatnonzero(~held)
         if len(missing):
             where = np.empty(len(uniq), dtype=np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             tokenize, alphabet = self.tok.model.tokenize, self.alphabet
+            slots[missing] = len(self.off) - 1 + np.arange(len(missing))
             for u in missing.tolist():
                 i = where[u]
                 word = raw[starts[i] : ends[i]].tobytes().decode("latin-1").translate(alphabet)
                 self.ids.extend([t.id for t in tokenize(word)])
-                self.slot[int(uniq[u])] = slots[u] = len(self.off) - 1
                 self.off.append(len(self.ids))
+            new = missing[np.argsort(uniq[missing])]
+            self.known, self.place = np.insert(self.known, near[new], uniq[new]), np.insert(self.place, near[new], slots[new])
         store, off = np.frombuffer(self.ids, dtype=np.uint32), np.frombuffer(self.off, dtype=np.int64)
         length = np.diff(off)
         s = slots[codes]
