@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stillwater.llm._scratch import materialize
 
-#: values held by a task before it counts them, and the count from which it reports one
-WINDOW, SEEN = 5_000_000, 2
+#: values held by a task before it counts them; it reports those that it holds twice or more
+WINDOW = 5_000_000
 #: values that are broadcast at most (8 bytes and a count each)
 MOST = 1 << 19
 
@@ -24,19 +24,26 @@ class Counter:
     """Counts values of a task; ``flush`` gives the reports so far."""
 
     def __init__(self):
-        self.held, self.size = [], 0
+        self.held, self.size = np.empty(WINDOW, np.uint64), 0
 
     def add(self, values: np.ndarray) -> bool:
-        self.held.append(values)
-        self.size += len(values)
-        return self.size >= WINDOW
+        size = self.size + len(values)
+        if size > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.empty(size + WINDOW // 4 - self.size, np.uint64)])
+        self.held[self.size : size] = values
+        self.size = size
+        return size >= WINDOW
 
     def flush(self) -> tuple[pa.Array, pa.Array]:
         """Values (as signed 64-bit) and counts."""
-        values, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held]), return_counts=True)
-        self.held, self.size = [], 0
-        keep = df >= SEEN
-        return pa.array(values[keep].view(np.int64)), pa.array(df[keep].astype(np.int64))
+        values = self.held[: self.size]
+        values.sort()  # in place: a second copy of so many would be most of a worker's memory
+        again = np.zeros(len(values) + 1, dtype=bool)  # the value before is the same
+        np.equal(values[1:], values[:-1], out=again[1:-1])
+        first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+        tokens, df = values[first], last - first + 1
+        self.size = 0
+        return pa.array(tokens.view(np.int64)), pa.array(df)
 
 
 def heavy_list(reports: DataFrame, least: int):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm._heavy import contained
-from stillwater.llm._text import Words, column, gram_hashes, mix, slices
+from stillwater.llm._text import SMALL_SLICE, Words, column, gram_hashes, mix, slices
 from stillwater.session import ship
 
 SHINGLE, LEAST, SHARD = 5, 0.8, 20_000
@@ -251,7 +251,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             b = shared.value
             for batch in batches:
                 texts, ids = column(batch, "text"), batch.column(0)
-                for lo, hi in slices(texts):
+                for lo, hi in slices(texts, SMALL_SLICE):
                     rows = b.leaks(texts.slice(lo, hi - lo))
                     if rows:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + r[0] for r in rows])), pa.array([b.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
@@ -273,7 +273,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, keep = column(batch, text_col), np.ones(batch.num_rows, dtype=bool)
-                for lo, hi in slices(texts):
+                for lo, hi in slices(texts, SMALL_SLICE):
                     for d, *_ in shared.value.leaks(texts.slice(lo, hi - lo)):
                         keep[lo + d] = False
                 yield batch.filter(pa.array(keep))

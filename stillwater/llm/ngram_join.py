@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from stillwater.llm._components import components
 from stillwater.llm._heavy import Counter, contained, heavy_list
 from stillwater.llm._scratch import Scope, materialize, width
-from stillwater.llm._text import Words, column, mix, shingle_sets, slices
+from stillwater.llm._text import SMALL_SLICE, U, Words, column, mix, shingle_sets, slices
 from stillwater.session import ship
 
 #: fragments of the n-gram order in which partial overlaps are counted
@@ -79,7 +79,17 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
     for batch in batches:
         texts, ids = column(batch, "text"), batch.column(0)
         for lo, hi in slices(texts):
-            yield ids.slice(lo, hi - lo), *shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), n)
+            yield ids.slice(lo, hi - lo), *_shingles(texts.slice(lo, hi - lo), n)
+
+
+def _shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of a column, hashed in small slices: (hashes, bounds)."""
+    hashes, sizes = [np.zeros(0, U)], [np.zeros(1, np.int64)]
+    for lo, hi in slices(texts, SMALL_SLICE):
+        own, bounds = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), n)
+        hashes.append(own)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
 
 
 def _profile(n: int):
@@ -228,7 +238,7 @@ def _segments(n: int, heavy):
         often = heavy.value[0]
         for batch in batches:
             texts, want = column(batch, "text"), batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SMALL_SLICE):
                 hashes, bounds = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), n)
                 right = np.flatnonzero(_set_ids(hashes, bounds) == want[lo:hi])
                 last = contained(hashes, often)

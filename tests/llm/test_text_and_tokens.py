@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from helpers import CLASH_VALUES, CLASHING, DOCS, corpus, shingles, words
 
-from stillwater.llm import _text, token_counts, token_files
+from stillwater.llm import _heavy, _text, ngram_join, token_counts, token_files
 from stillwater.llm._bpe import encoder, tokenizer_path
 
 PATH = tokenizer_path()
@@ -24,6 +24,28 @@ def test_words_and_shingles():
     assert [b - a for a, b in _text.slices(texts, 1)] == [1] * len(rows)
 
 
+def test_shingles_of_small_slices(monkeypatch):
+    texts = pa.array([r[1] or "" for r in corpus()])
+    want = _text.shingle_sets(_text.Words(texts, lower=True))
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(ngram_join, "SMALL_SLICE", size)
+        for x, y in zip(ngram_join._shingles(texts, 5), want, strict=True):
+            np.testing.assert_array_equal(x, y)
+    assert [x.tolist() for x in ngram_join._shingles(texts.slice(0, 0), 5)] == [[], [0]]
+
+
+def test_counter(monkeypatch):
+    monkeypatch.setattr(_heavy, "WINDOW", 50)
+    rng = np.random.default_rng(2)
+    for pieces in ([], [0], [1], [3, 30, 16], [49, 1], [400], [10, 39, 300], [50, 60]):
+        counter, all_ = _heavy.Counter(), [rng.integers(0, 20, k, dtype=np.uint64) << np.uint64(60) for k in pieces]
+        full = [counter.add(x) for x in all_]
+        assert full == [x >= 50 for x in np.cumsum(pieces).tolist()]
+        values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *all_]), return_counts=True)
+        assert [x.to_pylist() for x in counter.flush()] == [values[n > 1].view(np.int64).tolist(), n[n > 1].tolist()]
+        assert [x.to_pylist() for x in counter.flush()] == [[], []]
+
+
 def test_encoder_equals_library():
     rng = random.Random(1)
     parts = [*" '  \n\t stmdrevelaéÉ12½.,!\"-'", "'s", "'re", "'ll", " '", "  ", "\r\n", "’", "中", "🙂", "<|endoftext|>"]
