@@ -3,7 +3,7 @@
 A document is the average of the embeddings of its letter trigrams and 4-grams (bytes, lower
 case, word ends marked), hashed to fixed tables; a linear layer and softmax give the language.
 Trained by stochastic gradient descent in numpy on a bounded sample: ``PER_LANG`` documents of each
-language or more, less than twice as many, with their whole texts.  Probabilities are calibrated by a
+language or more, about twice as many at most, with their whole texts (rows alike count once).  Probabilities are calibrated by a
 temperature fitted on sampled documents held back from training, which also set the score below
 which a prediction is rejected (``accepted``).  Predictions read whole texts: both layers being
 linear, they are one table of scores per subword.
@@ -62,6 +62,16 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[mask], ends[np.minimum(begin, len(tri))]
 
 
+def _sliced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``subwords``, slice by slice: its temporaries are several times its results."""
+    rows, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for lo, hi in slices(texts, SMALL_SLICE):
+        own, at = subwords(texts.slice(lo, hi - lo))
+        rows.append(own)
+        sizes.append(np.diff(at))
+    return np.concatenate(rows), np.cumsum(np.concatenate(sizes))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
@@ -75,7 +85,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     order = rng.permutation(len(texts))
     held = order[: len(order) // 8] if len(order) >= 40 else order
     fit = order[len(order) // 8 :] if len(order) >= 40 else order
-    rows, at = subwords(pa.array(texts, pa.string()))
+    rows, at = _sliced(pa.array(texts, pa.large_string()))
     emb = rng.normal(0, 0.1, (2 << BITS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(names)), dtype=np.float32)
     weight = len(y) / (len(names) * np.bincount(y, minlength=len(names)))
@@ -184,7 +194,9 @@ def identify_languages(docs: DataFrame, held_out, id_col: str = "doc_id", text_c
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out")).where("not held_out and lang is not null and text is not null")
     share = materialize(known.groupBy("lang").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) / PER_LANG)).alias("_m")), "languages")  # a row per language
     few = F.broadcast(share) if share.count() <= LANGS_BROADCAST else share
-    sample = known.join(few, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("_m")) == 0).select("text", "lang")
+    # by id and text: rows of one doc_id don't come all together, and repeated rows count once
+    h = F.xxhash64("doc_id", "text")
+    sample = known.join(few, "lang").where(F.pmod(h, F.col("_m")) == 0).select(h.alias("h"), "text", "lang").dropDuplicates(["h", "lang"]).select("text", "lang")
     got = sample.repartition(1).mapInArrow(_fit, "model binary").collect()
     import pickle
 

@@ -148,6 +148,26 @@ def test_language_scores_are_averages():
     assert np.diff(at)[1] == np.diff(at)[2] == 0 and np.diff(at)[0] > 0
 
 
+def test_subwords_of_small_slices(monkeypatch):
+    texts = pa.array([r[1] or "" for r in corpus()])
+    want = language_id.subwords(texts)
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(language_id, "SMALL_SLICE", size)
+        for x, y in zip(language_id._sliced(texts.cast(pa.large_string())), want, strict=True):
+            np.testing.assert_array_equal(x, y)
+
+
+def test_language_id_learns_from_rows_of_one_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANG", 20)
+    rows = [(7, f"{a} {b} {i}", lang, None, 0) for lang, a, b in (("x", "wolo", "bano"), ("y", "trisk", "ferk")) for i in range(200)]
+    rows += [(7, "wolo bano", "x", None, 0)] * 500
+    sampled = []
+    monkeypatch.setattr(language_id, "_fit", lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([str(sum(b.num_rows for b in batches)).encode()], pa.binary())], names=["model"])]))
+    monkeypatch.setattr("pickle.loads", lambda b: sampled.append(int(b)))
+    language_id.identify_languages(spark.createDataFrame(rows, DOCS), queries.fold())
+    assert 0 < sampled[0] < 4 * 20
+
+
 def test_language_id_of_many_languages_and_clashes(spark, monkeypatch):
     monkeypatch.setattr(language_id, "LANGS_BROADCAST", 2)
     rng = random.Random(16)
